@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import bpe, tokens
+from pagewright.llm import bpe, chat, media, mixing, neighbours, sharding, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +17,45 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op2_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.pair_sides(_table(spark, sf_dir, "conversations")))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_words(_table(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"))
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_chat_preferences": op2_chat_preferences,
+    "op3_sharding": op3_sharding,
+    "op4_mixing": op4_mixing,
+    "op5_simhash": op5_simhash,
+    "op7_neighbours": op7_neighbours,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_media": op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_chat_preferences": chat.SQL,
+}
