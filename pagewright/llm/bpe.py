@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.batches import small_batches
+
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of a part, about.
 PART = 65_536
@@ -86,7 +88,7 @@ def encode_decode(docs: DataFrame, *, ranks: str | None = None, id_col: str = "d
                 rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest(), raw == text.encode()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
 
-    out = docs.select(F.col(id_col).alias("doc_id"), coded(F.coalesce(F.col(text_col), F.lit(""))).alias("coded"))
+    out = small_batches(docs).select(F.col(id_col).alias("doc_id"), coded(F.coalesce(F.col(text_col), F.lit(""))).alias("coded"))
     return out.select("doc_id", "coded.*")
 
 
@@ -99,7 +101,7 @@ def encode(docs: DataFrame, *, ranks: str | None = None, id_col: str = "doc_id",
         for batch in texts:
             yield pd.Series([encode_text(enc, t).astype("int32") for t in batch])
 
-    return docs.select(F.col(id_col).alias("doc_id"), ids(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
+    return small_batches(docs).select(F.col(id_col).alias("doc_id"), ids(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
 
 
 def decode(coded: DataFrame, *, ranks: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -111,4 +113,4 @@ def decode(coded: DataFrame, *, ranks: str | None = None, ids_col: str = "ids")
         for batch in arrays:
             yield pd.Series([b"" if a is None else decode_ids(enc, np.asarray(a)) for a in batch])
 
-    return coded.withColumn("decoded", raw(F.col(ids_col)))
+    return small_batches(coded).withColumn("decoded", raw(F.col(ids_col)))

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.batches import small_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 DROPPED = frozenset("head title script style noscript template nav footer aside form iframe object svg canvas button select option textarea input dialog menu map audio video".split())
@@ -208,4 +210,4 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.map(main_text)
 
-    return pages.select("page_id", "url", texts(F.coalesce("html", F.lit(""))).alias("text")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return small_batches(pages).select("page_id", "url", texts(F.coalesce("html", F.lit(""))).alias("text")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

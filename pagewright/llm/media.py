@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.batches import small_batches
 from pagewright.session import new_path, write_table
 
 UNIT, PAD = 576, b"\xff"
@@ -151,7 +152,7 @@ def pack_media(docs: DataFrame) -> DataFrame:
             shards.close()
 
     kind = dict(docs.dtypes)["doc_id"]
-    packed = docs.select("doc_id", "text").mapInPandas(pack, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long")
+    packed = small_batches(docs).select("doc_id", "text").mapInPandas(pack, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long")
     return write_table(packed, "media-rows")
 
 

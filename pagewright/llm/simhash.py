@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.batches import small_batches
 from pagewright.session import drop_table, write_table
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -162,7 +163,7 @@ def fingerprints(docs: DataFrame, *, size: int = SHINGLE, seed: int = SEED) -> D
         for batch in texts:
             yield batch.map(lambda x: fingerprint(x, size, seed)).astype("int64")
 
-    return docs.select("doc_id", fp(F.coalesce(F.col("text"), F.lit(""))).alias("fp"))
+    return small_batches(docs).select("doc_id", fp(F.coalesce(F.col("text"), F.lit(""))).alias("fp"))
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, size: int = SHINGLE, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

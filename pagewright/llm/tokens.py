@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.batches import small_batches
+
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 MARK = "▁"
@@ -104,6 +106,6 @@ def count_tokens(docs: DataFrame, *, model: str | None = None, limit: int = LIMI
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return (
-        docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), n_tokens(text).alias("n_tokens"))
+        small_batches(docs).select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), n_tokens(text).alias("n_tokens"))
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )

@@ -20,9 +20,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.batches import small_batches
+
 SAMPLE_TOXIC, SAMPLE_CLEAN, FEATURES = 4_000, 8_000, 2_000
 FOLDS, STEPS, RIDGE, SEED = 5, 150, 1e-4, 11
 #: Documents of the sample in which a feature must stand.
@@ -171,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, *, lexicon: dict[str, list[str]] =
     picked = [r for y, most in ((1, most_toxic), (0, most_clean)) for r in known.where(F.col("y") == y).orderBy("h", "doc_id").limit(most).select("doc_id", "y").collect()]
     if len({r["y"] for r in picked}) < 2:
         return _empty(categories)
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     sample = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(picked, "doc_id long, y int")), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))
     lists = {c: frozenset(words) for c, words in lexicon.items()}
 
@@ -218,7 +220,7 @@ def with_scores(docs: DataFrame, chain: Chain, to: str) -> DataFrame:
             p = np.array([chain.score(t) for t in batch]).reshape(len(batch), len(names))
             yield pd.DataFrame(p, columns=names).assign(toxic=p[:, -1] >= chain.threshold)
 
-    return docs.withColumn(to, scored(F.coalesce(F.col("text"), F.lit(""))))
+    return small_batches(docs).withColumn(to, scored(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
