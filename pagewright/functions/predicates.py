@@ -12,6 +12,8 @@ from pagewright.functions import text as T
 
 END = r"(?![A-Za-z0-9_])"
 BEGIN = r"(?<![A-Za-z0-9_])"
+#: An ASCII word boundary, whatever stands on either side.
+EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 #: The words that name each kind of line.
 PAGE_NUMBER = r"^(?:(?:page|p\.?|页码?) *)?[-()\[\] ]*(?:[0-9]{1,5}|[ivxlcdm]{1,12})(?: */ *[0-9]{1,5})?[-()\[\] ]*$"
@@ -23,9 +25,9 @@ UNITS = r"^(?:mm|cm|dm|m|km|mg|g|kg|pa|kpa|mpa|gpa|hz|khz|mhz|s|ms|min|h|day|day
 CAPTION = r"^(fig(?:ure)?\.?|table|scheme|chart|plate|图|表) *([A-Z]?[0-9]+(?:[.\-][0-9]+)?|[一二三四五六七八九十百零〇]+)(?: *([.:：\-]) *| +)(.*)$"
 CAPTION_VERBS = r"^(?:shows?|illustrates?|presents?|depicts?|compares?|demonstrates?|reveals?|provides?|indicates?|summari[sz]es?|reports?|lists?|gives?|contains?|is|are|was|were)"
 CAPTION_SENTENCE = r"^(?:this|these|those|the|we|our|it|they)%s.{0,100}%s(?:evidence(?:s|d)?|show(?:s|ed)?|indicate(?:s|d)?|demonstrate(?:s|d)?|confirm(?:s|ed)?|reveal(?:s|ed)?|suggest(?:s|ed)?|depend(?:s|ed)?|increase(?:s|d)?|decrease(?:s|d)?|is|are|was|were|has|have|had|can|may|will)" % (END, BEGIN)
-NOISE = r"(?:https?://|www\.|doi(?:\.org| *:)|" + BEGIN + r"[^ ]+@[^ ]+" + r"|" + BEGIN + "orcid" + END + r"|copyright|all +rights +reserved|received +[0-9]|accepted +[0-9]|corresponding +author|university|department|faculty|school|college|institute|关键词)"
-PUBLISHER = r"(?:https?://|www\.|doi(?:\.org| *:)|[A-Za-z0-9_][^ ]*@[^ ]*[A-Za-z0-9_]|" + BEGIN + "orcid" + END + r"|©|copyright|all +rights +reserved|see +front +matter|available +online|received +[0-9]|accepted +[0-9]|article +history)"
-AUTHOR = r"(?:https?://|www\.|[A-Za-z0-9_][^ ]*@[^ ]*[A-Za-z0-9_]|" + BEGIN + "(?:university|department|faculty|school|college|institute|laboratory|centre|center|orcid)" + END + ")"
+NOISE = r"(?:https?://|www\.|doi(?:\.org| *:)|" + EDGE + "[^ ]+@[^ ]+" + EDGE + "|" + BEGIN + "orcid" + END + r"|copyright|all +rights +reserved|received +[0-9]|accepted +[0-9]|corresponding +author|university|department|faculty|school|college|institute|关键词)"
+PUBLISHER = r"(?:https?://|www\.|doi(?:\.org| *:)|" + EDGE + "[^ ]+@[^ ]+" + EDGE + "|" + BEGIN + "orcid" + END + r"|©|copyright|all +rights +reserved|see +front +matter|available +online|received +[0-9]|accepted +[0-9]|article +history)"
+AUTHOR = r"(?:https?://|www\.|" + EDGE + "[^ ]+@[^ ]+" + EDGE + "|" + BEGIN + "(?:university|department|faculty|school|college|institute|laboratory|centre|center|orcid)" + END + ")"
 FOOTNOTE = r"^(?:[*∗†‡]|[0-9]{1,2})? *(?:corresponding +author|e-?mail" + END + ")"
 ABSTRACT_END = (r"^(?:keywords?|key *words?|article *info|articleinfo)" + END, r"^(?:copyright|all +rights +reserved)" + END, r"^(?:received|accepted|available +online|published +online)" + END)
 CONTINUATION = r"^(?:\p{Ll}|(?:and|or|but|while|whereas|which|that|with|of|to|for|from|in)" + END + ")"
@@ -74,7 +76,7 @@ def numbered_heading(c: Column, compose: bool = True) -> Column:
         & (F.char_length(rest) <= 150)
         & ~ends_terminal(rest)
         & (~digits | F.coalesce((number != 0) & (number <= 99), F.lit(False)))
-        & ~(digits & _i(rest, UNITS + r"(?<=[A-Za-z0-9_])" + END))
+        & ~(digits & _i(rest, UNITS + EDGE))
         & ~rest.rlike(r"^\p{Ll}")
         & ~rest.rlike(r"[.!?。！？] +[\p{Lu}\p{IsHan}]")
         & (F.regexp_count(rest, F.lit(r"\p{L}{2,}")) <= 16)
@@ -151,7 +153,7 @@ def author_like(c: Column, compose: bool = True) -> Column:
     """P17."""
     text = T.normalize(c, compose)
     commas = F.regexp_count(text, F.lit(","))
-    return _i(text, AUTHOR) | ((commas >= 2) & (F.regexp_count(text, F.lit(r"\p{L}{2,}")) >= 3)) | ((commas >= 1) & text.rlike(BEGIN + r"[A-Z]\p{Ll}+ +[A-Z]\p{Ll}+" + r"(?<=[A-Za-z0-9_])" + END))
+    return _i(text, AUTHOR) | ((commas >= 2) & (F.regexp_count(text, F.lit(r"\p{L}{2,}")) >= 3)) | ((commas >= 1) & text.rlike(BEGIN + r"[A-Z]\p{Ll}+ +[A-Z]\p{Ll}+" + EDGE))
 
 
 def author_name_like(c: Column, compose: bool = True) -> Column:

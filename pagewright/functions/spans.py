@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from pagewright.functions import text as T
+from pagewright.functions.binding import let
 
 #: Marks after which a text may be cut.
 CUT_AFTER = ("。", "！", "？", "；", ". ", "! ", "? ", "; ", "\n")
@@ -60,12 +61,10 @@ def graphemes(c: Column) -> Column:
 def _anchor(text: Column, start: Column, end: Column) -> Column:
     """A range grown to word edges, as struct<text, start, end>; white space is single spaces."""
     start, end = start.cast("int"), end.cast("int")
-    head = F.substring(text, F.lit(1), start + 1)
-    back = F.locate(" ", F.reverse(head))
-    left = F.when(back == 0, F.lit(0)).otherwise(F.char_length(head) - back + 1)
-    ahead = F.locate(" ", F.substring(text, end, F.char_length(text)))
-    right = F.when(ahead == 0, F.char_length(text)).otherwise(end + ahead - 2)
-    return F.struct(F.substring(text, left + 1, right - left).alias("text"), left.cast("long").alias("start"), right.cast("long").alias("end"))
+    last_space = lambda head: F.char_length(head) - F.locate(" ", F.reverse(head)) + 1
+    left = let(F.substring(text, F.lit(1), start + 1), lambda head: F.when(F.instr(head, F.lit(" ")) == 0, F.lit(0)).otherwise(last_space(head)))
+    right = let(F.call_function("locate", F.lit(" "), text, F.greatest(end, F.lit(1))), lambda at: F.when(at == 0, F.char_length(text)).otherwise(at - 1))
+    return let(F.struct(left.alias("a"), right.alias("b")), lambda r: F.struct(F.substring(text, r["a"] + 1, r["b"] - r["a"]).alias("text"), r["a"].cast("long").alias("start"), r["b"].cast("long").alias("end")))
 
 
 def anchors(target: Column, kind: str) -> Column:
@@ -74,21 +73,26 @@ def anchors(target: Column, kind: str) -> Column:
     Texts up to 48 (title) or 96 characters are one anchor; longer ones have windows at start,
     middle and end, grown to word edges, of 12 characters at least and different.
     """
-    n = F.char_length(target)
-    half, quarter = F.floor(n / 2), F.floor(n / 4)
-    if kind == "title":
-        width = F.least(F.lit(44), F.greatest(F.lit(24), half))
-    else:
-        width = F.least(F.lit(48), F.greatest(F.lit(32), quarter))
-    first, last = _anchor(target, F.lit(0), width), _anchor(target, n - width, n)
-    middle = _anchor(target, half - F.floor(width / 2), half + F.ceil(width / 2))
-    three = F.array(first, middle, last)
-    windows = F.when(n <= 96, F.array(first, last)).otherwise(three) if kind == "title" else three
-    long_enough = F.filter(windows, lambda a: F.char_length(a["text"]) >= 12)
-    seen = F.transform(long_enough, lambda a: a["text"])
-    distinct = F.filter(long_enough, lambda a, i: F.array_position(seen, a["text"]) == i + 1)
-    whole = F.array(F.struct(target.alias("text"), F.lit(0).cast("long").alias("start"), n.cast("long").alias("end")))
-    return F.when(n == 0, F.filter(whole, lambda a: F.lit(False))).when(n <= (48 if kind == "title" else 96), whole).otherwise(distinct)
+    whole_up_to = 48 if kind == "title" else 96
+
+    def of(v: Column) -> Column:
+        text, n = v["text"], v["n"]
+        half = F.floor(n / 2)
+        width = F.least(F.lit(44), F.greatest(F.lit(24), half)) if kind == "title" else F.least(F.lit(48), F.greatest(F.lit(32), F.floor(n / 4)))
+
+        def windows(w: Column) -> Column:
+            first, last = _anchor(text, F.lit(0), w), _anchor(text, n - w, n)
+            middle = _anchor(text, half - F.floor(w / 2), half + F.ceil(w / 2))
+            three = F.array(first, middle, last)
+            return F.when(n <= 96, F.array(first, last)).otherwise(three) if kind == "title" else three
+
+        def kept(found: Column) -> Column:
+            return let(F.filter(found, lambda a: F.char_length(a["text"]) >= 12), lambda long: let(F.transform(long, lambda a: a["text"]), lambda seen: F.filter(long, lambda a, i: F.array_position(seen, a["text"]) == i + 1)))
+
+        whole = F.array(F.struct(text.alias("text"), F.lit(0).cast("long").alias("start"), n.cast("long").alias("end")))
+        return F.when(n == 0, F.slice(whole, F.lit(1), F.lit(0))).when(n <= whole_up_to, whole).otherwise(let(let(width, windows), kept))
+
+    return let(F.struct(target.alias("text"), F.char_length(target).alias("n")), of)
 
 
 #: Least coverage by kind, and that of high confidence.
@@ -104,14 +108,16 @@ def match_anchors(text: Column, found: Column, target_length: Column, kind: str)
     """
 
     def step(acc: Column, a: Column) -> Column:
-        at = F.call_function("locate", a["text"], text, (acc["next"] + 1).cast("int"))
-        hit = at > 0
-        to = F.when(hit, at - 1 + F.char_length(a["text"])).otherwise(acc["next"]) if kind == "abstract" else F.lit(0)
-        return F.struct(
-            to.cast("long").alias("next"), (acc["matched"] + hit.cast("long")).alias("matched"), (acc["covered"] + F.when(hit, a["end"] - a["start"]).otherwise(0)).alias("covered"),
-            F.when(hit, F.least(acc["low"], a["start"])).otherwise(acc["low"]).alias("low"), F.when(hit, F.greatest(acc["high"], a["end"])).otherwise(acc["high"]).alias("high"),
-            F.when(hit & (acc["matched"] == 0), (at - 1).cast("long")).otherwise(acc["first_start"]).alias("first_start"), F.when(hit, (at - 1 + F.char_length(a["text"])).cast("long")).otherwise(acc["last_end"]).alias("last_end"),
-        )
+        def moved(at: Column) -> Column:
+            hit, end = at > 0, (at - 1 + F.char_length(a["text"])).cast("long")
+            to = F.when(hit, end).otherwise(acc["next"]) if kind == "abstract" else F.lit(0).cast("long")
+            return F.struct(
+                to.alias("next"), (acc["matched"] + hit.cast("long")).alias("matched"), (acc["covered"] + F.when(hit, a["end"] - a["start"]).otherwise(0)).alias("covered"),
+                F.when(hit, F.least(acc["low"], a["start"])).otherwise(acc["low"]).alias("low"), F.when(hit, F.greatest(acc["high"], a["end"])).otherwise(acc["high"]).alias("high"),
+                F.when(hit & (acc["matched"] == 0), (at - 1).cast("long")).otherwise(acc["first_start"]).alias("first_start"), F.when(hit, end).otherwise(acc["last_end"]).alias("last_end"),
+            )
+
+        return let(F.call_function("locate", a["text"], text, (acc["next"] + 1).cast("int")), moved)
 
     big = F.lit(2**40)
     zero = F.lit(0).cast("long")
