@@ -28,7 +28,7 @@ TABLES, PROBES, SEED = 8, 16, 5
 #: Classes that a bucket should hold, and may hold before it is split.
 BUCKET, BUCKET_ROWS = 256, 8_192
 #: Axes of each hash among which probes are chosen.
-AXES = 16
+AXES = PROBES
 
 
 @lru_cache(maxsize=64)
@@ -74,6 +74,11 @@ def buckets(x: np.ndarray, table: int, hashes: int, probes: int = 1, seed: int =
     return codes
 
 
+def probes_for(hashes: int, probes: int = PROBES) -> int:
+    """Buckets of a table that a query visits: ``probes`` axes of each hash, in all combinations."""
+    return probes**hashes
+
+
 def nearest(queries: np.ndarray, rows: np.ndarray, first_ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each query the ``n`` nearest rows by exact cosine, ties to the smaller id: query, row, score."""
     size = lambda x: np.sqrt(np.einsum("ij,ij->i", x, x))
@@ -117,7 +122,7 @@ def search(vectors: DataFrame, *, k: int = K, every: int = EVERY, tables: int =
                 for d, part in batch.groupby(batch["embedding"].map(len)):
                     x = unit(_stacked(part["embedding"]))
                     for t in range(tables):
-                        codes = buckets(x, t, hashes[d], n, seed)
+                        codes = buckets(x, t, hashes[d], probes_for(hashes[d], n), seed)
                         at = np.repeat(np.arange(len(part)), codes.shape[1])
                         yield part.iloc[at].assign(d=d, t=t, bucket=codes.ravel())[["d", "t", "bucket", "c1", "c2", "first_id", "embedding"]]
 

@@ -132,7 +132,7 @@ def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b), root being the least node reachable.
 
     Large-star and small-star contractions alternate until the links no longer change.
-    Nodes that no link names are absent.
+    Roots themselves are absent, as are nodes that no link names.
     """
     same = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = write_table(links.select("a", "b"), "links")
