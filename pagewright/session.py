@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+FILES_A_CORE = 4
+
+
 def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on this machine."""
     return (
@@ -42,10 +45,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
+
+    At most FILES_A_CORE files for each core of the cluster: more shuffle partitions than that
+    would only make small files.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pagewright_path = path
     return out
