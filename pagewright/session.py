@@ -44,15 +44,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+def write_table(df: DataFrame, name: str, files_a_core: int = FILES_A_CORE) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    At most FILES_A_CORE files for each core of the cluster: more shuffle partitions than that
-    would only make small files.
+    At most ``files_a_core`` files for each core of the cluster: more shuffle partitions than
+    that would only make small files.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
+    df.coalesce(files_a_core * spark.sparkContext.defaultParallelism).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pagewright_path = path
     return out
