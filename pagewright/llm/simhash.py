@@ -134,18 +134,19 @@ def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     Large-star and small-star contractions alternate until the links no longer change.
     Roots themselves are absent, as are nodes that no link names.
     """
+    written = lambda df, name: write_table(df, name, 1)  # noqa: E731  narrow tables of many rounds: few files
     same = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    now = write_table(links.select("a", "b"), "links")
+    now = written(links.select("a", "b"), "links")
     mark = same(now)
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = write_table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = write_table(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        lower = write_table(down.groupBy("a").agg(F.min("b").alias("m")), "lower")
+        lower = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lower, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b"))
-        after = write_table(small.where("a <> b").distinct(), "links")
-        for old in (now, least, large, lower):
+        after = written(small.where("a <> b").distinct(), "links")
+        for old in (now, least, large):
             drop_table(old)
         now, before, mark = after, mark, same(after)
         if mark == before:
@@ -179,6 +180,6 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, size: int = SHINGL
     nodes = write_table(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(near_links(nodes.select("fp"), radius=radius, bucket_rows=bucket_rows))
     rooted = write_table(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
-    least = write_table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = write_table(rooted.join(least, "root").select("fp", "component_id"), "named")
     return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
