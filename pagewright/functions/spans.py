@@ -103,8 +103,9 @@ HIGH_COVERAGE = 0.85
 def match_anchors(text: Column, found: Column, target_length: Column, kind: str) -> Column:
     """Anchors searched in ``text``, those of an abstract each after the one before.
 
-    Returns struct<matched, anchor_count, coverage, confidence, first_start, last_end> or null
-    where too few anchors or too little of the target match.
+    Returns struct<matched, anchor_count, coverage, confidence, first_start, last_end (in the
+    text), target_start, target_end (in the target)> or null where too few anchors or too little
+    of the target match.
     """
 
     def step(acc: Column, a: Column) -> Column:
@@ -131,7 +132,7 @@ def match_anchors(text: Column, found: Column, target_length: Column, kind: str)
         count = F.size(found).cast("long")
         fine = (count > 0) & (acc["matched"] >= F.least(F.lit(2), count)) & (coverage >= LEAST_COVERAGE[kind])
         confidence = F.when((acc["matched"] == count) & (coverage >= HIGH_COVERAGE), "high").otherwise("medium")
-        return F.when(fine, F.struct(acc["matched"].alias("matched"), count.alias("anchor_count"), coverage.alias("coverage"), confidence.alias("confidence"), acc["first_start"].alias("first_start"), acc["last_end"].alias("last_end")))
+        return F.when(fine, F.struct(acc["matched"].alias("matched"), count.alias("anchor_count"), coverage.alias("coverage"), confidence.alias("confidence"), acc["first_start"].alias("first_start"), acc["last_end"].alias("last_end"), acc["low"].alias("target_start"), acc["high"].alias("target_end")))
 
     return F.aggregate(found, start, step, done)
 

@@ -45,7 +45,7 @@ def align(docs: DataFrame, passages: DataFrame, *, kind: str = "abstract", compo
     match = S.match_anchors(F.col("text"), F.col("anchors"), F.char_length("target"), kind)
     matched = looked.select("doc_id", "item_id", match.alias("m")).where("m is not null").select("doc_id", "item_id", "m.*")
     best = Window.partitionBy("doc_id").orderBy(F.desc("coverage"), F.desc("matched"), "item_id")
-    return matched.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "first_start", "last_end")
+    return matched.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "first_start", "last_end", "target_start", "target_end")
 
 
 def first_words(c: Column, size: int) -> Column:
@@ -101,7 +101,8 @@ def locate_in_region(index: DataFrame, anchored: DataFrame, *, on: list[str], ki
     m = S.match_anchors(F.col("text"), F.col("anchors"), F.char_length("target"), kind)
     out = joined.select(*index.columns, "target", m.alias("m")).where("m is not null")
     hit = F.filter("places", lambda p: (p["end"] > F.col("m.first_start")) & (p["start"] < F.col("m.last_end")))
-    return out.select(*on, "m.*", F.transform(hit, lambda p: p["k"]).alias("ks")).withColumn("lines", F.size("ks"))
+    keys = [c for c in index.columns if c not in ("text", "places")]
+    return out.select(*keys, "target", "m.*", F.transform(hit, lambda p: p["k"]).alias("ks")).withColumn("lines", F.size("ks"))
 
 
 def strategy_cascade(found: list[DataFrame], *, keys: list[str]) -> DataFrame:

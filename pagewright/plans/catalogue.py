@@ -18,7 +18,7 @@ from pagewright.functions import hashing as H
 from pagewright.functions import predicates as P
 from pagewright.functions import spans as S
 from pagewright.functions import text as T
-from pagewright.operators import align, apportion, enrich, layout, selection, store
+from pagewright.operators import align, apportion, enrich, front_matter, layout, selection, store, targets
 from pagewright.sources import layouts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,7 +102,7 @@ def edge_key_repeats(spark, sf_dir):
 def heading_variants(spark, sf_dir):
     lines = flow_lines(spark, sf_dir)
     numbered = F.concat((F.col("k") % 120).cast("string"), F.lit(". "), F.col("text"))
-    keyword = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("Introduction", "References", "Abstract", "METHODS", "1. Background", "A p p e n d i x")]), (F.col("k") % 6 + 1).cast("int")), F.when(F.col("k") % 4 == 0, " ").otherwise(""), F.when(F.col("k") % 4 == 0, F.substring("text", 1, 12)).otherwise(""))
+    keyword = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("Introduction", "References", "Abstract", "METHODS", "1. Background", "A p p e n d i x")]), (F.col("k") % 6 + 1).cast("int")), F.when(F.col("k") % 4 == 0, F.concat(F.lit(" "), F.col("text"))).otherwise(""))
     plain = lines.withColumn("variant", F.lit("plain"))
     return plain.union(lines.withColumns({"text": numbered, "variant": F.lit("numbered")})).union(lines.withColumns({"text": keyword, "variant": F.lit("keyword")}))
 
@@ -324,6 +324,37 @@ def block_building(spark, sf_dir):
     return out.select("doc_id", "block", "page", "lines", "x0", "y0", "x1", "y1", "h", "centered", F.md5(F.array_join("ks", ",").cast("binary")).alias("ks_md5"))
 
 
+def article_lines(spark, sf_dir) -> DataFrame:
+    """Lines of documents with the words of an article's sections put in."""
+    k, text = F.col("k"), F.col("text")
+    made = F.when(k == 2, "Abstract").when(k == 6, F.concat(F.lit("Keywords: "), text)).when(k == 8, "1 Introduction").otherwise(text)
+    return front_matter.placed(lines_of(spark, sf_dir).withColumn("text", made).drop("col", "row"))
+
+
+@query
+def abstract_region(spark, sf_dir):
+    """Abstract lines of articles and where they end."""
+    found = front_matter.extract(article_lines(spark, sf_dir))
+    return found["abstract"].groupBy("doc_id", "boundary").agg(F.count_if(F.col("role") == "body").alias("lines"), F.min("k").alias("heading_k"), F.max("k").alias("last_k"))
+
+
+@query
+def title_candidates(spark, sf_dir):
+    """Best title candidate of every article."""
+    found = front_matter.extract(article_lines(spark, sf_dir))
+    return found["titles"].where("rank = 1").select("doc_id", "page", "score", "confidence", F.char_length("text").alias("n_chars"))
+
+
+@query
+def metadata_targets(spark, sf_dir):
+    """Each article's known title and abstract found on its lines."""
+    lines = article_lines(spark, sf_dir)
+    text = lambda low, high: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k").between(low, high), F.struct("k", "text")))), lambda x: x["text"]), " ")
+    known = lines.groupBy("doc_id").agg(text(0, 0).alias("title"), text(3, 5).alias("abstract"))
+    out = targets.metadata_targets(front_matter.extract(lines), known)
+    return out.select("doc_id", "kind", F.array_join("ks", ",").alias("ks"), F.round("coverage", 6).alias("coverage"), "confidence", "completeness", "boundary", "method")
+
+
 @query
 def dehyphenate_join(spark, sf_dir):
     """Lines of every page and column joined, broken words mended."""
@@ -373,10 +404,25 @@ def paragraph_units(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(units).cast("long").alias("n"), F.md5(F.array_join(units, "|").cast("binary")).alias("units_md5"))
 
 
+def column_rows(spark, sf_dir) -> DataFrame:
+    """Lines numbered in their columns; every seventh is indented, every ninth centred and narrow with room around it."""
+    k = F.col("k")
+    narrow = k % 9 == 4
+    lines = lines_of(spark, sf_dir).withColumns({"y1": F.col("y0") + F.when(narrow, 4.0).otherwise(F.lit(10.0)), "row_index": F.row_number().over(Window.partitionBy("doc_id", "page", "col").orderBy("k")) - 1})
+    return lines.withColumns({"x0": F.when(narrow, F.col("x0") + 80).when(k % 7 == 0, F.col("x0") + 15).otherwise(F.col("x0")), "x1": F.when(narrow, F.col("x0") + 140).otherwise(F.col("x1"))})
+
+
+@query
+def geometric_breaks(spark, sf_dir):
+    """Where the spacing of each column's lines ends paragraphs, and why."""
+    out = selection.geometric_breaks(column_rows(spark, sf_dir), block=["doc_id", "page", "col"])
+    return out.select("doc_id", "page", "col", F.col("row_index").cast("long").alias("row_index"), F.round("share", 9).alias("share"), F.array_join("reasons", ",").alias("reasons"))
+
+
 @query
 def geometric_units(spark, sf_dir):
-    """Paragraph breaks from the spacing of each column's lines, as units."""
-    lines = lines_of(spark, sf_dir).withColumn("y1", F.col("y0") + 10).withColumn("row_index", F.row_number().over(Window.partitionBy("doc_id", "page", "col").orderBy("k")) - 1)
+    """The same breaks put into each column's text, as units."""
+    lines = column_rows(spark, sf_dir)
     block = ["doc_id", "page", "col"]
     breaks = selection.geometric_breaks(lines, block=block).groupBy(*block).agg(F.array_sort(F.collect_list(F.struct("row_index", "share"))).alias("b"))
     texts = lines.groupBy(*block).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "\n").alias("text"), F.count("*").alias("row_count"))
@@ -467,11 +513,12 @@ def store_gc_orphans(spark, sf_dir):
 
 @query
 def store_list(spark, sf_dir):
-    """Selection records with readable positions, in order of creation."""
+    """Selection records of opened attachments with readable positions, in order of creation."""
     e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("custom", "title", "unclassified", "abstract")]), (F.col("event_id") % 4 + 1).cast("int"))
     records = e.select(F.col("event_id").cast("string").alias("record_id"), F.lit(1).cast("long").alias("library_id"), F.col("user_id").cast("string").alias("attachment_key"), F.lit("f").alias("file_fingerprint"), kind.alias("segment_kind"), F.when(F.col("event_id") % 9 == 0, "{broken").otherwise(F.col("props")).alias("position_json"), F.when(F.col("event_id") % 3 == 0, "de").otherwise("zh-CN").alias("target_language"), F.lit("p").alias("prompt_version"), F.col("event_id").alias("created_at"))
-    attachments = e.where("user_id % 2 = 0").select(F.lit(1).cast("long").alias("library_id"), F.col("user_id").cast("string").alias("attachment_key"), F.lit("f").alias("file_fingerprint")).distinct()
+    opened = table(spark, sf_dir, "events").where("event_type = 'signup'")
+    attachments = opened.select(F.lit(1).cast("long").alias("library_id"), F.col("user_id").cast("string").alias("attachment_key"), F.lit("f").alias("file_fingerprint")).distinct()
     return store.list_for_attachment(records, attachments, target_language="zh-CN").select("record_id", "attachment_key", "segment_kind", "created_at")
 
 
@@ -481,11 +528,18 @@ def _status(c: Column) -> Column:
 
 @query
 def result_merge_last_good(spark, sf_dir):
-    """Each user's later result over the earlier one, good ones kept."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", _status(F.col("event_type")).alias("status"))
-    first = e.groupBy("user_id").agg(F.min_by("status", "event_id").alias("status"), F.min("event_id").alias("event_id")).where("user_id % 7 <> 3")
-    last = e.groupBy("user_id").agg(F.max_by("status", "event_id").alias("status"), F.max("event_id").alias("event_id")).where("user_id % 7 <> 5")
-    return store.merge_last_good(first, last, keys=["user_id"])
+    """Each user's result of buying over that of looking, good ones kept."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", _status(F.col("event_type")).alias("status"))
+    last = lambda rows: rows.groupBy("user_id").agg(F.max_by("status", "event_id").alias("status"), F.max("event_id").alias("event_id"))
+    return store.merge_last_good(last(e.where("value >= 150")), last(e.where("value < 1")), keys=["user_id"])
+
+
+@query
+def target_merge(spark, sf_dir):
+    """Each user's newer target over the older one."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    last = lambda rows: rows.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    return store.merge_targets(last(e.where("value >= 150")), last(e.where("value < 1")), keys=["user_id"])
 
 
 @query
