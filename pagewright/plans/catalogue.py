@@ -19,6 +19,7 @@ from pagewright.functions import predicates as P
 from pagewright.functions import spans as S
 from pagewright.functions import text as T
 from pagewright.operators import align, apportion, enrich, front_matter, layout, selection, store, targets
+from pagewright.session import spread
 from pagewright.sources import layouts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +32,7 @@ def query(f: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
