@@ -50,7 +50,8 @@ class PieceCounter:
         self.pattern = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+")
         self.proved = {"\n": 1}
         if self.splits:
-            own = [(i, p) for i, p in enumerate(self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())) if p in set(pieces)]
+            ordinary = set(pieces)
+            own = [(i, p) for i, p in enumerate(self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())) if p in ordinary]
             asked = [p[1:] if p[0] == MARK else "\n" + p for _, p in own]
             for (i, p), ids in zip(own, self.sp.encode([a.replace(MARK, " ") for a in asked], num_threads=1), strict=True):
                 if ids == [i] if p[0] == MARK else ids[2:] == [i]:
