@@ -7,6 +7,10 @@ threshold, and below every other node that reaches it, the subtree of the larges
 content too. What is named as menu, header, footer, side bar, notice, advert, form, script,
 style or reader comments leaves the tree before, by element, role, class or id; content
 inside an article element grows to that element.
+
+A class or id counts as a whole: 'cookie-notice' names a notice, 'has-sidebar' no side bar.
+What a name or a form would take out stays if it holds an article or main element, or most
+of the page's text where no such element lies elsewhere; where nothing is left, the page is read without regard to names.
 """
 
 from __future__ import annotations
@@ -24,13 +28,18 @@ from pagewright.llm.batches import small_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = frozenset("head title script style noscript template nav footer aside form iframe object svg canvas button select option textarea input dialog menu map audio video".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-#: Words in classes and ids that name what is not the article.
+DROPPED = frozenset("head title script style noscript template nav footer aside iframe object svg canvas button select option textarea input dialog menu map audio video".split())
+ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
+#: Words of classes and ids that name what is not the article.
 NAMED = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup paywall sidebar aside menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer copyright comment comments commentary discussion disqus replies reply respond related recommended share sharing social widget pagination pager toolbar login".split()
 )
 COMMENTS = frozenset("comment comments discussion disqus replies reply respond".split())
+#: Words that may stand beside those of NAMED in a name without changing what it names.
+BESIDE = frozenset("area article bar block bottom box button buttons container content entry fixed form global icon icons inner item items left link links list main page post posts primary right section secondary site sticky text top user wrap wrapper".split())
+#: Names of what is itself made of articles or long texts, and the share of the page's text that a named element must exceed to stay.
+LISTS = COMMENTS | frozenset("aside promo recommended related sidebar sponsored".split())
+MOST, MOST_OF_LISTS = 0.5, 0.9
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER_BY_NAME = HEADINGS | {"html", "body", "main", "p"}
 #: Elements that a start tag closes, and where the search for them ends.
@@ -47,28 +56,30 @@ class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tag, self.parent, self.skip, self.link, self.inside = ["#root"], [-1], [False], [False], [False]
+        self.named: dict[int, frozenset | set] = {}
         self.open = [0]
         self.blocks: list[list[tuple[int, str]]] = [[]]
 
-    def _named_out(self, tag: str, attrs: dict) -> bool:
-        if tag in DROPPED:
-            return True
-        inside = self.inside[self.open[-1]]
-        if tag == "header" and not inside:
+    def _out(self, tag: str, attrs: dict) -> bool:
+        """Left out whatever it holds."""
+        if tag in DROPPED or tag == "header" and not self.inside[self.open[-1]]:
             return True
         if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or HIDDEN.search(attrs.get("style") or ""):
             return True
-        if (attrs.get("role") or "").lower() in ROLES and tag not in ("html", "body", "main", "article"):
-            return True
+        return (attrs.get("role") or "").lower() in ROLES and tag not in ("html", "body", "main", "article")
+
+    def _named(self, tag: str, attrs: dict) -> frozenset | set:
+        """Words for which it is left out unless it holds the article."""
         if tag in NEVER_BY_NAME:
-            return False
-        words = set()
-        for name in ("class", "id"):
-            words.update(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", attrs.get(name) or "").lower()))
+            return frozenset()
+        found = {"form"} if tag == "form" or (attrs.get("role") or "").lower() == "form" and tag != "article" else set()
+        for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
+            words = {w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w and not w.isdigit()}
+            if words <= NAMED | BESIDE:
+                found |= words & NAMED
         if tag == "article":
-            return bool(words & COMMENTS)
-        found = words & NAMED
-        return bool(found - {"header"} if inside else found)
+            return found & COMMENTS
+        return found - {"header"} if self.inside[self.open[-1]] else found
 
     def _close_to(self, depth: int) -> None:
         if any(self.tag[i] not in INLINE for i in self.open[depth:]):
@@ -100,7 +111,10 @@ class _Page(HTMLParser):
         at = self.open[-1]
         self.parent.append(at)
         self.tag.append(tag)
-        self.skip.append(self.skip[at] or self._named_out(tag, dict(attrs)))
+        attrs = dict(attrs)
+        self.skip.append(self.skip[at] or self._out(tag, attrs))
+        if not self.skip[-1] and (named := self._named(tag, attrs)):
+            self.named[len(self.skip) - 1] = named
         self.link.append(self.link[at] or tag == "a")
         self.inside.append(self.inside[at] or tag in ("article", "main"))
         if tag not in VOID:
@@ -120,7 +134,37 @@ class _Page(HTMLParser):
             self.blocks[-1].append((self.open[-1], data))
 
 
-def _content(page: _Page) -> list[bool]:
+def _without_named(page: _Page) -> list[bool]:
+    """``page.skip`` with the subtrees of named nodes that hold neither the article nor most of the text."""
+    n, parent = len(page.tag), page.parent
+    text, articles, mains, largest, around = [0] * n, [0] * n, [0] * n, [0] * n, [0] * n
+    for block in page.blocks:
+        for node, data in block:
+            text[node] += 0 if page.link[node] else len(data) - data.count(" ") - data.count("\n")
+    for i in range(n - 1, 0, -1):
+        if page.skip[i]:
+            continue
+        p, own = parent[i], page.tag[i] == "article" and i not in page.named
+        text[p] += text[i]
+        articles[p] += articles[i] + own
+        mains[p] += mains[i] + (page.tag[i] == "main")
+        largest[p] = max(largest[p], largest[i], text[i] if own else 0)
+
+    def stays(i: int) -> bool:
+        lists = page.named[i] & LISTS
+        if mains[i] or articles[i] and (not lists or largest[i] == largest[0]):
+            return True
+        elsewhere = articles[0] + mains[0] - articles[i] - mains[i] - around[i]
+        return not elsewhere and text[i] > (MOST_OF_LISTS if lists else MOST) * text[0]
+
+    skip = list(page.skip)
+    for i in range(1, n):
+        around[i] = around[parent[i]] + (page.tag[parent[i]] == "main" or page.tag[parent[i]] == "article" and parent[i] not in page.named)
+        skip[i] = skip[i] or skip[parent[i]] or i in page.named and not stays(i)
+    return skip
+
+
+def _content(page: _Page, skip: list[bool]) -> list[bool]:
     """Which nodes are content."""
     n, parent = len(page.tag), page.parent
     chars, link_chars, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
@@ -130,7 +174,7 @@ def _content(page: _Page) -> list[bool]:
             chars[node] += size
             link_chars[node] += size * page.link[node]
     for i in range(n - 1, 0, -1):
-        if not page.skip[i]:
+        if not skip[i]:
             p = parent[i]
             chars[p] += chars[i]
             link_chars[p] += link_chars[i]
@@ -145,13 +189,13 @@ def _content(page: _Page) -> list[bool]:
         base = log(lc * c / max(c - lc, 1) + all_links * c / all_chars + e)
         return c / t * log(c / max(lc, 1) * t / max(min(link_tags[i], t), 1) + 1e-9) / log(max(base, 1.3))
 
-    dense = [0.0 if page.skip[i] else density(i) for i in range(n)]
+    dense = [0.0 if skip[i] else density(i) for i in range(n)]
     total = [0.0] * n
     for i in range(n - 1, 0, -1):
         total[parent[i]] += dense[i]
     best = list(range(n))  # the node of the largest sum below, itself included; the uppermost of equals
     for i in range(n - 1, 0, -1):
-        if not page.skip[i] and total[best[i]] >= total[best[parent[i]]]:
+        if not skip[i] and total[best[i]] >= total[best[parent[i]]]:
             if total[best[i]] > total[best[parent[i]]] or best[parent[i]] != parent[i]:
                 best[parent[i]] = best[i]
     marked = [False] * n
@@ -163,9 +207,9 @@ def _content(page: _Page) -> list[bool]:
             break
         at = parent[at]
     for i in range(n):
-        if not page.skip[i] and dense[i] >= threshold and chars[i] and (total[best[i]] > 0 or i == top):
+        if not skip[i] and dense[i] >= threshold and chars[i] and (total[best[i]] > 0 or i == top):
             marked[best[i]] = True
-        elif not page.skip[i] and dense[i] >= threshold and chars[i]:
+        elif not skip[i] and dense[i] >= threshold and chars[i]:
             marked[i] = True  # a leaf: no children to sum
     marked[top] = True
     for names in ({"article"}, {"main"}):  # content grows to the element that holds it
@@ -179,13 +223,18 @@ def _content(page: _Page) -> list[bool]:
             break
     beside = {parent[i] for i in range(1, n) if marked[i]}
     for i in range(1, n):  # headings beside content
-        if page.tag[i] in HEADINGS and parent[i] in beside and not page.link[i]:
+        if page.tag[i] in HEADINGS and not skip[i] and parent[i] in beside and not page.link[i]:
             marked[i] = True
     for i in range(1, n):
-        marked[i] = marked[i] or marked[parent[i]]
+        marked[i] = not skip[i] and (marked[i] or marked[parent[i]])
     return marked
 
 
+def _text(page: _Page, skip: list[bool]) -> str:
+    content = _content(page, skip)
+    return " ".join(" ".join(("".join(data for node, data in block if content[node])).split()) for block in page.blocks if any(content[node] and not data.isspace() for node, data in block))
+
+
 def main_text(html: str | None) -> str:
     """The article's text: blocks in page order, joined by one space; '' for no page."""
     if not html:
@@ -193,8 +242,8 @@ def main_text(html: str | None) -> str:
     page = _Page()
     page.feed(UNENDED.sub("", html))
     page.close()
-    content = _content(page)
-    return " ".join(" ".join(("".join(data for node, data in block if content[node])).split()) for block in page.blocks if any(content[node] and not data.isspace() for node, data in block))
+    text = _text(page, _without_named(page)) if page.named else ""
+    return text or _text(page, page.skip)
 
 
 def extract(pages: DataFrame) -> DataFrame:

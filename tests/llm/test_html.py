@@ -30,6 +30,27 @@ def test_cases(page, text):
     assert html.main_text(page) == text
 
 
+BODY = "<article><h1>The title</h1><p>Some words of the text that go on.</p><p>And more of it, as it is.</p></article>"
+WORDS = "The title Some words of the text that go on. And more of it, as it is."
+BARE = BODY.replace("article>", "div>")
+
+
+@pytest.mark.parametrize(
+    "page",
+    [f"<body><div class='{c}'>{b}</div><div class='cookie-notice'>We use cookies</div></body>" for b in (BODY, BARE) for c in ("content has-sidebar", "layout no-sidebar", "page with-header-menu", "post-comments-open", "sidebar", "header", "comments")]
+    + [f"<body><form id='aspnetForm'>{BODY}<form>name <input></form></form></body>", f"<body><form>{BARE}</form><p><a href='/'>home</a></p></body>", f"<body><div role='form'>{BODY}</div></body>"]
+    + [f"<article><div class='{c}'>{BARE}</div><div class='share-buttons'>Share this</div></article>" for c in ("body share-enabled", "share")]
+    + [f"<body>{BODY}<div class='related'><article><p>Another page, in short.</p></article></div><div id='comments'><article><p>Me too.</p></article></div></body>"]
+    + [f"<body>{BODY}<div class='comments'><p>{'A long thread of what readers wrote. ' * 200}</p></div></body>"],
+)
+def test_names_do_not_take_the_article_out(page):
+    assert html.main_text(page) == WORDS
+
+
+def test_named_parts_are_read_where_nothing_else_is():
+    assert html.main_text("<body><div class='notice'><p>one is here.</p></div><div class='popup'><p>two is here.</p></div></body>") == "one is here. two is here."
+
+
 def test_deep_and_long_pages_end():
     assert html.main_text("<div>" * 5000 + "deep") == "deep"
     assert len(html.main_text("<article>" + "<p>word word word</p>" * 20_000 + "</article>").split()) == 60_000
