@@ -9,6 +9,9 @@ Equal vectors are one class with its smallest ids, of which no more than k + 1 c
 matter, and each distinct query vector is searched once, so copies cost nothing. The
 number of hashes follows the number of classes; a bucket of more than ``bucket_rows``
 classes is split by hash into blocks that each query of it visits, none left out.
+
+A query for which the buckets hold fewer rows than it should have is compared with all rows
+of its length, in blocks.
 """
 
 from __future__ import annotations
@@ -102,18 +105,20 @@ def search(vectors: DataFrame, *, k: int = K, every: int = EVERY, tables: int =
     ``vectors`` has vec_id and embedding. Nearest first, equal scores by smaller vec_id; a
     query's own row is left out, equal vectors of other ids are not. Rows with null vec_id,
     null, empty or zero embedding, or a null or non-finite component take no part, nor do
-    vectors whose length no other shares find partners. Repeated rows count once. Empty
-    input gives no rows.
+    vectors whose length no other shares find partners. Repeated rows count once. A query
+    has fewer than ``k`` rows only where its length has no more candidates. Empty input
+    gives no rows.
     """
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & good)
     valid = valid.select("vec_id", "embedding", F.xxhash64("embedding").alias("c1"), F.xxhash64(F.lit(seed), F.reverse("embedding")).alias("c2"))
     key = ["c1", "c2"]
     first = valid.withColumn("nth", F.dense_rank().over(Window.partitionBy(*key).orderBy("vec_id"))).where(F.col("nth") <= k + 1)
-    classes = write_table(first.groupBy(*key).agg(F.array_sort(F.collect_set("vec_id")).alias("ids"), F.any_value("embedding").alias("embedding")), "classes")  # k + 1 ids at most
+    classes = write_table(first.groupBy(*key).agg(F.array_sort(F.collect_set("vec_id")).alias("ids"), F.any_value("embedding").alias("embedding")).withColumn("d", F.size("embedding")), "classes")  # k + 1 ids at most
     asked = write_table(valid.where(F.col("vec_id") % every == 0).select(*key, "vec_id").distinct(), "asked")
     queries = classes.join(asked.select(*key).distinct(), key, "left_semi")
-    dims = {r["d"]: r["n"] for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row for each vector length
+    lengths = classes.groupBy("d").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("held"))  # a row for each vector length
+    dims = {r["d"]: r["n"] for r in lengths.collect()}
     hashes = {d: max(1, round(log(max(n / bucket, 1)) / log(2 * max(2, 1 << (d - 1).bit_length())))) for d, n in dims.items()}
 
     def keys_of(n: int):
@@ -147,13 +152,25 @@ def search(vectors: DataFrame, *, k: int = K, every: int = EVERY, tables: int =
             found.append(pd.DataFrame({"q1": left["c1"].to_numpy()[a + q], "q2": left["c2"].to_numpy()[a + q], "c1": right["c1"].to_numpy()[r], "c2": right["c2"].to_numpy()[r], "score": score}))
         return pd.concat(found)
 
-    by = [*at, "block"]
-    pairs = probed.groupBy(*by).cogroup(blocked.groupBy(*by)).applyInPandas(compare, "q1 long, q2 long, c1 long, c2 long, score double")
-    best = pairs.groupBy("q1", "q2", "c1", "c2").agg(F.max("score").alias("score")).join(classes.select(*key, "ids"), key)
-    nth = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), F.col("ids")[0])
-    top = best.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k + 1).select("q1", "q2", "score", F.explode("ids").alias("vec_id"))
-    nth = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id")
-    top = write_table(top.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k + 1), "nearest")
+    def ranked(asking: DataFrame, asked_of: DataFrame, by: list[str], name: str) -> DataFrame:
+        pairs = asking.groupBy(*by).cogroup(asked_of.groupBy(*by)).applyInPandas(compare, "q1 long, q2 long, c1 long, c2 long, score double")
+        best = pairs.groupBy("q1", "q2", "c1", "c2").agg(F.max("score").alias("score")).join(classes.select(*key, "ids"), key)
+        nth = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), F.col("ids")[0])
+        top = best.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k + 1).select("q1", "q2", "score", F.explode("ids").alias("vec_id"))
+        nth = Window.partitionBy("q1", "q2").orderBy(F.desc("score"), "vec_id")
+        return write_table(top.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= k + 1), name)
+
+    top = ranked(probed, blocked, [*at, "block"], "nearest")
+    hits = top.groupBy(F.col("q1").alias("c1"), F.col("q2").alias("c2")).agg(F.count("*").alias("hits"))
+    short = queries.join(hits, key, "left").join(lengths, "d").where(F.coalesce("hits", F.lit(0)) < F.least(F.lit(k + 1), "held"))
+    short = write_table(short.select(*cols, "d"), "short")
+    if not short.isEmpty():
+        dealt = short.groupBy("d").agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("parts")).join(lengths.select("d", F.ceil(F.col("n") / bucket_rows).cast("int").alias("blocks")), "d")
+        all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        asking = short.join(dealt, "d").withColumn("part", F.pmod("c1", "parts").cast("int")).withColumn("block", all_of("blocks")).drop("parts", "blocks")
+        asked_of = classes.select(*cols, "d").join(dealt, "d").withColumn("block", F.pmod("c1", "blocks").cast("int")).withColumn("part", all_of("parts")).drop("parts", "blocks")
+        whole = ranked(asking, asked_of, ["d", "part", "block"], "whole")
+        top = top.join(short.select(F.col("c1").alias("q1"), F.col("c2").alias("q2")), ["q1", "q2"], "left_anti").unionByName(whole)
     mine = asked.select(F.col("c1").alias("q1"), F.col("c2").alias("q2"), F.col("vec_id").alias("query_id"))
     lists = top.groupBy("q1", "q2").agg(F.array_sort(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("found"))  # k + 1 at most
     others = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)

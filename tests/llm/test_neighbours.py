@@ -47,6 +47,21 @@ def test_all_buckets_give_the_exact_answer(spark):
             assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]], atol=1e-12)
 
 
+def test_no_query_lacks_rows_that_there_are(spark):
+    rng = np.random.default_rng(11)
+    centre = 4 * rng.normal(size=64)
+    near = {i: centre + rng.normal(size=64) for i in range(1, 300) if i % 50}
+    far = {50 * i: -centre + 3 * rng.normal(size=64) for i in range(3)}
+    few = {1000 + i: rng.normal(size=48) for i in range(4)} | {1050: rng.normal(size=48)}
+    for options in ({}, {"bucket_rows": 2}):
+        got = found(spark, [(i, np.float32(v).tolist()) for i, v in (near | far | few).items()], **options)
+        for vectors in (near | far, few):
+            want = brute({i: np.float32(v).tolist() for i, v in vectors.items()})
+            for q in want:
+                assert [i for i, _ in got[q]] == [i for i, _ in want[q]], q
+        assert len(got) == 5
+
+
 def test_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (None, [1.0, 1.0]), (6, [1.0, 1.0]), (6, [1.0, 1.0]), (7, []), (50, None), (100, [1.0, 2.0, 3.0])]
     got = found(spark, rows)
