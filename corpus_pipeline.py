@@ -30,16 +30,19 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each SimHash component.
+    """One row of each SimHash component: that of the smallest id, null ids last.
 
-    Of rows equal in id and text one stays; rows with null id stay once for each text. Only
-    rows of repeated or null ids are compared by text, so other texts are moved once.
+    Rows are known by id and text together, so an id that stands with several texts, or no
+    id, keeps no row that its component has not chosen. Only rows that are repeated in both
+    are compared by text, so other texts are moved once.
     """
-    found = simhash.near_duplicates(docs)
-    kept = write_table(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    once = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(kept.where("rows > 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    return once.select(docs.columns).unionByName(again.dropDuplicates(["doc_id", "text"]).select(docs.columns))
+    k1, k2 = F.xxhash64(docs["doc_id"], docs["text"]), F.xxhash64(F.lit(simhash.SEED), docs["doc_id"], docs["text"])
+    found = write_table(simhash.fingerprints(docs, k1.alias("k1"), k2.alias("k2")), "fingerprints")
+    rows = found.groupBy("fp", "doc_id", "k1", "k2").agg(F.count("*").alias("rows")).join(simhash.rooted(found).select("fp", "root"), "fp")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2", "rows")).alias("x"))
+    kept = write_table(first.select("x.k1", "x.k2", "x.rows"), "kept")
+    chosen = lambda of: docs.join(of, (k1 == of["k1"]) & (k2 == of["k2"]), "left_semi")
+    return chosen(kept.where("rows = 1")).unionByName(chosen(kept.where("rows > 1")).dropDuplicates(["doc_id", "text"]))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

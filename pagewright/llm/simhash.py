@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.batches import small_batches
@@ -156,15 +156,22 @@ def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
 
 
-def fingerprints(docs: DataFrame, *, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (signed) of every row."""
+def fingerprints(docs: DataFrame, *columns: Column, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id, ``columns`` and fp (signed) of every row."""
 
     @F.pandas_udf("long")
     def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield batch.map(lambda x: fingerprint(x, size, seed)).astype("int64")
 
-    return small_batches(docs).select("doc_id", fp(F.coalesce(F.col("text"), F.lit(""))).alias("fp"))
+    return small_batches(docs).select("doc_id", *columns, fp(F.coalesce(F.col("text"), F.lit(""))).alias("fp"))
+
+
+def rooted(found: DataFrame, *, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """fp, root (the least fp of its component) and least (its least doc_id) of each fingerprint of ``found`` (doc_id, fp)."""
+    nodes = write_table(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    roots = components(near_links(nodes.select("fp"), radius=radius, bucket_rows=bucket_rows))
+    return write_table(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, size: int = SHINGLE, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -177,9 +184,7 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, size: int = SHINGL
     text are read.
     """
     found = write_table(fingerprints(docs, size=size, seed=seed), "fingerprints")
-    nodes = write_table(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(near_links(nodes.select("fp"), radius=radius, bucket_rows=bucket_rows))
-    rooted = write_table(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = write_table(rooted.join(least, "root").select("fp", "component_id"), "named")
+    nodes = rooted(found, radius=radius, bucket_rows=bucket_rows)
+    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = write_table(nodes.join(least, "root").select("fp", "component_id"), "named")
     return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -26,5 +26,14 @@ def test_odd_rows(spark, sf_dir, odd_docs, empty_docs):
     assert sorted(str(r["doc_id"]) for r in kept) == ["0", "3", "5", "6", "7", "8", "None"]
 
 
+def test_one_row_of_each_component_stays(spark, sf_dir):
+    a, b, c = ("one two three four five six seven eight", "another text that has nothing of the first one in it", "and a third one about quite other matters than those")
+    near = a.upper()  # another text of the same fingerprint
+    rows = [(1, a), (None, a), (None, near), (5, b), (5, b), (5, a), (7, near), (4, c), (5, c), (None, "none has this one"), (None, "NONE has this one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"].lower()) for r in corpus_pipeline.near_duplicates_out(spark, docs, sf_dir).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (5, b), (4, c), (None, "none has this one")], key=str)
+
+
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0 and corpus_pipeline.ORACLE_SQL is None
