@@ -39,8 +39,8 @@ def test_all_buckets_give_the_exact_answer(spark):
     vectors |= {i: vectors[50] for i in range(200, 320)}  # copies of a query, and two queries among them
     vectors |= {400: [2 * v for v in vectors[3]], 401: vectors[3]}
     vectors = {i: np.float32(v).tolist() for i, v in vectors.items()}
-    for options in ({}, {"bucket_rows": 20}):
-        got, want = found(spark, list(vectors.items()), probes=8, **options), brute(vectors)
+    for options in ({}, {"cell_rows": 20}, {"bucket": 8}):
+        got, want = found(spark, list(vectors.items()), **options), brute(vectors)
         assert got.keys() == want.keys()
         for q in want:
             assert [i for i, _ in got[q]] == [i for i, _ in want[q]], q
@@ -53,7 +53,7 @@ def test_no_query_lacks_rows_that_there_are(spark):
     near = {i: centre + rng.normal(size=64) for i in range(1, 300) if i % 50}
     far = {50 * i: -centre + 3 * rng.normal(size=64) for i in range(3)}
     few = {1000 + i: rng.normal(size=48) for i in range(4)} | {1050: rng.normal(size=48)}
-    for options in ({}, {"bucket_rows": 2}):
+    for options in ({}, {"cell_rows": 2}):
         got = found(spark, [(i, np.float32(v).tolist()) for i, v in (near | far | few).items()], **options)
         for vectors in (near | far, few):
             want = brute({i: np.float32(v).tolist() for i, v in vectors.items()})
@@ -88,6 +88,30 @@ def test_recall_with_two_hashes():
     top = np.argsort(-near, axis=1)[:, :5]
     hit = np.zeros(top.shape, bool)
     for t in range(neighbours.TABLES):
-        codes, probes = neighbours.buckets(u, t, 2)[:, 0], neighbours.buckets(q, t, 2, neighbours.probes_for(2))
-        hit |= (codes[top][:, :, None] == probes[:, None, :]).any(axis=2)
+        first, second = divmod(neighbours.codes_of(u, t, 2)[top], 128)
+        mask = neighbours.masks_of(q, t, 2, neighbours.AXES)
+        hit |= np.take_along_axis(mask[:, 0], first, 1) & np.take_along_axis(mask[:, 1], second, 1)
     assert hit.mean() >= 0.9
+
+
+def test_rounding_stays_within_its_bound():
+    u = neighbours.unit(np.random.default_rng(5).normal(size=(500, 48)))
+    v, scale, moved = neighbours.rounded(u)
+    near = (v * scale[:, None]).astype(np.float32) @ (v * scale[:, None]).astype(np.float32).T
+    assert (np.abs(near - u @ u.T) <= moved[:, None] + moved[None, :]).all()
+
+
+def test_few_opposite_and_orthogonal_vectors(spark):
+    rng = np.random.default_rng(8)
+    v, w = rng.normal(size=64), rng.normal(size=64)
+    for vectors in ({0: v, 50: -v, 1: w}, {i: rng.normal(size=64) for i in range(2)}, {i: rng.normal(size=64) for i in range(6)}):
+        vectors = {i: np.float32(x).tolist() for i, x in vectors.items()}
+        got, want = found(spark, list(vectors.items())), brute(vectors)
+        assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+    got = found(spark, [(i, x.tolist()) for i, x in enumerate(np.eye(64))])
+    assert {q: [s for _, s in x] for q, x in got.items()} == {0: [0.0] * 5, 50: [0.0] * 5}
+
+
+def test_an_id_with_several_vectors(spark):
+    got = found(spark, [(6, [1.0, 1.0]), (6, [1.0, 2.0]), (6, [1.0, 1.0]), (50, [1.0, 1.5]), (7, [-1.0, 0.0])])
+    assert [i for i, _ in got[50]] == [6, 6, 7]
