@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 FILES_A_CORE = 4
+#: Input bytes that a task of ``write_table`` may read, on average, when partitions are put together.
+TASK_BYTES = 64 << 20
+#: Paths that are still there, by application.
+_written: dict[str, dict[str, None]] = {}
 
 
 def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
@@ -41,30 +45,55 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, {})[path] = None
+    return path
+
+
+def _input_bytes(df: DataFrame) -> int:
+    """What the leaves of the plan hold, by their statistics."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def write_table(df: DataFrame, name: str, files_a_core: int = FILES_A_CORE) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    At most ``files_a_core`` files for each core of the cluster: more shuffle partitions than
-    that would only make small files.
+    Small partitions are put together where there are more than ``files_a_core`` for each core,
+    but never so that a task would read more than TASK_BYTES of the plan's inputs on average:
+    a large scan keeps its splits. The table stays until ``drop_table`` or ``drop_all``; who
+    consumes a result calls the latter, as the result reads the tables it was made of.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.coalesce(files_a_core * spark.sparkContext.defaultParallelism).write.parquet(path)
+    files = max(files_a_core * spark.sparkContext.defaultParallelism, -(-_input_bytes(df) // TASK_BYTES))
+    df.coalesce(min(files, 2**31 - 1)).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._pagewright_path = path
     return out
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete what ``write_table`` wrote; only for a table that no later plan reads."""
-    path = getattr(df, "_pagewright_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def drop_table(*tables: DataFrame) -> None:
+    """Delete what ``write_table`` wrote; only for tables that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_pagewright_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Delete every table that this application's ``write_table`` and ``new_path`` made and left.
+
+    For the end of a query, when its result is consumed or written elsewhere.
+    """
+    for path in list(_written.get(spark.sparkContext.applicationId, {})):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _written.get(spark.sparkContext.applicationId, {}).pop(path, None)
 
 
 def spread(df: DataFrame) -> DataFrame:
