@@ -15,15 +15,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
-from pagewright.llm.batches import small_batches
+from pagewright.llm.batches import udf_of_lists
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters of a part, about.
 PART = 65_536
+#: What the digests of a text are.
+CODED = StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("round_trip", "boolean")
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -77,40 +79,42 @@ def encode_decode(docs: DataFrame, *, ranks: str | None = None, id_col: str = "d
     decoded bytes are the text's UTF-8.
     """
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
-    def coded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def digests(enc, text: str) -> dict:
+        ids = encode_text(enc, text)
+        raw = decode_ids(enc, ids)
+        return {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(ids.tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(raw).hexdigest(), "round_trip": raw == text.encode()}
+
+    def work(batches: Iterator[list]) -> Iterator[list]:
         enc = encoding(ranks or default_ranks())
-        for batch in texts:
-            rows = []
-            for text in batch:
-                ids = encode_text(enc, text)
-                raw = decode_ids(enc, ids)
-                rows.append((len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(raw).hexdigest(), raw == text.encode()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "round_trip"])
-
-    out = small_batches(docs).select(F.col(id_col).alias("doc_id"), coded(F.coalesce(F.col(text_col), F.lit(""))).alias("coded"))
+        for texts in batches:
+            yield [digests(enc, t) for t in texts]
+
+    coded = udf_of_lists(CODED, work)
+    out = docs.select(F.col(id_col).alias("doc_id"), coded(F.coalesce(F.col(text_col), F.lit(""))).alias("coded"))
     return out.select("doc_id", "coded.*")
 
 
 def encode(docs: DataFrame, *, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every whole text; null text has none."""
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def work(batches: Iterator[list]) -> Iterator[list]:
         enc = encoding(ranks or default_ranks())
-        for batch in texts:
-            yield pd.Series([encode_text(enc, t).astype("int32") for t in batch])
+        for texts in batches:
+            yield [encode_text(enc, t).astype("int32") for t in texts]
 
-    return small_batches(docs).select(F.col(id_col).alias("doc_id"), ids(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
+    ids = udf_of_lists(ArrayType(IntegerType()), work)
+    return docs.select(F.col(id_col).alias("doc_id"), ids(F.coalesce(F.col(text_col), F.lit(""))).alias("ids"))
 
 
 def decode(coded: DataFrame, *, ranks: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """``coded`` with the raw bytes of its ids in ``decoded``; null ids give no bytes."""
+    """``coded`` with the raw bytes of its ids in ``decoded``; null and empty ids give no bytes.
+
+    An existing column ``decoded`` is replaced. A null or unknown id within is an error.
+    """
 
-    @F.pandas_udf("binary")
-    def raw(arrays: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def work(batches: Iterator[list]) -> Iterator[list]:
         enc = encoding(ranks or default_ranks())
-        for batch in arrays:
-            yield pd.Series([b"" if a is None else decode_ids(enc, np.asarray(a)) for a in batch])
+        for ids in batches:
+            yield [decode_ids(enc, np.asarray(x or [], "<u4")) for x in ids]
 
-    return small_batches(coded).withColumn("decoded", raw(F.col(ids_col)))
+    return coded.withColumn("decoded", udf_of_lists(BinaryType(), work)(F.col(ids_col)))

@@ -16,15 +16,14 @@ of the page's text where no such element lies elsewhere; where nothing is left,
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 from math import e, log
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from pagewright.llm.batches import small_batches
+from pagewright.llm.batches import udf_of_lists
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -254,9 +253,5 @@ def extract(pages: DataFrame) -> DataFrame:
     are not read.
     """
 
-    @F.pandas_udf("string")
-    def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(main_text)
-
-    return small_batches(pages).select("page_id", "url", texts(F.coalesce("html", F.lit(""))).alias("text")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    texts = udf_of_lists(StringType(), lambda batches: ([main_text(x) for x in batch] for batch in batches))
+    return pages.select("page_id", "url", texts(F.coalesce("html", F.lit(""))).alias("text")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

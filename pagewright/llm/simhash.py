@@ -23,8 +23,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from pagewright.llm.batches import small_batches
+from pagewright.llm.batches import udf_of_lists
 from pagewright.session import drop_table, write_table
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -158,13 +159,8 @@ def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
 
 def fingerprints(docs: DataFrame, *columns: Column, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, ``columns`` and fp (signed) of every row."""
-
-    @F.pandas_udf("long")
-    def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield batch.map(lambda x: fingerprint(x, size, seed)).astype("int64")
-
-    return small_batches(docs).select("doc_id", *columns, fp(F.coalesce(F.col("text"), F.lit(""))).alias("fp"))
+    fp = udf_of_lists(LongType(), lambda batches: ([fingerprint(x, size, seed) for x in batch] for batch in batches))
+    return docs.select("doc_id", *columns, fp(F.coalesce(F.col("text"), F.lit(""))).alias("fp"))
 
 
 def rooted(found: DataFrame, *, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

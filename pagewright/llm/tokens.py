@@ -14,11 +14,11 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from pagewright.llm.batches import small_batches
+from pagewright.llm.batches import udf_of_lists
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -99,14 +99,14 @@ def count_tokens(docs: DataFrame, *, model: str | None = None, limit: int = LIMI
     has; by default the public one is looked up where the task runs.
     """
 
-    @F.pandas_udf("long")
-    def n_tokens(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def counted(batches: Iterator[list]) -> Iterator[list]:
         counts = counter(model or default_model())
-        for batch in texts:
-            yield batch.map(counts.count).astype("int64")
+        for texts in batches:
+            yield [counts.count(t) for t in texts]
 
+    n_tokens = udf_of_lists(LongType(), counted)
     text = F.coalesce(F.col(text_col), F.lit(""))
     return (
-        small_batches(docs).select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), n_tokens(text).alias("n_tokens"))
+        docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), n_tokens(text).alias("n_tokens"))
         .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )
