@@ -1,10 +1,12 @@
+import os
 import random
 
 import numpy as np
+import pytest
 
 from pagewright.llm import toxicity
 
-BAD = ["idiot", "moron", "worthless", "garbage"]
+BAD = ["zopfel", "quarnt", "vuxil", "wrompst"]  # no words of any list
 
 
 def corpus(spark, n=1200, seed=1):
@@ -28,13 +30,42 @@ def test_held_out_accuracy(spark):
     held = [r for r in out if r["doc_id"] % 2 == 1]
     right = sum(r["toxic"] == (r["doc_id"] % 5 == 0) for r in held)
     assert right >= 0.97 * len(held)
-    assert all(0 <= r[c] <= 1 for r in out for c in ("p_insult", "p_contempt", "p_toxic"))
+    assert all(0 <= r[c] <= 1 for r in out for c in ("p_kind1", "p_kind2", "p_kind3", "p_toxic"))
 
 
 def test_later_models_see_earlier_categories(spark):
     docs, labels = corpus(spark)
     chain = toxicity.train(docs, labels)
-    assert chain.categories == ["insult", "contempt", "toxic"] and [len(e) for e in chain.earlier] == [0, 1, 2] and any(chain.earlier[2])
+    assert chain.categories == ["kind1", "kind2", "kind3", "toxic"] and [len(e) for e in chain.earlier] == [0, 1, 2, 3] and any(chain.earlier[3])
+
+
+def test_kinds_are_groups_of_shared_features():
+    # rows 0-29 share features 0-2, 30-49 features 3-5, 50-59 features 6-8; 60-199 lack the label
+    own = [range(0, 3)] * 30 + [range(3, 6)] * 20 + [range(6, 9)] * 10 + [range(9, 12)] * 140
+    x = toxicity._Sparse(np.repeat(np.arange(200), 3), np.concatenate([list(r) for r in own]), 200, 12, np.zeros((200, 0)))
+    y = (np.arange(200) < 60).astype(int)
+    assert toxicity.kinds_of(x, y).tolist() == [0] * 30 + [1] * 20 + [2] * 10 + [-1] * 140
+    assert set(toxicity.kinds_of(x, np.zeros(200, int))) == {-1}
+
+
+def test_held_out_rows_of_the_tables(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no tables here")
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    held = labels.where("pmod(xxhash64(doc_id), 2) = 1")
+    out = toxicity.score_documents(docs, labels.join(held, "doc_id", "left_anti")).select("doc_id", "toxic")
+    rows = out.join(held.withColumnRenamed("toxic", "label"), "doc_id").collect()
+    hit = sum(r["toxic"] and r["label"] for r in rows)
+    assert 2 * hit / (sum(r["toxic"] for r in rows) + sum(r["label"] for r in rows)) >= 0.7
+
+
+def test_ids_of_other_types(spark):
+    docs, labels = corpus(spark, 200)
+    text_ids = lambda df: df.withColumn("doc_id", df["doc_id"].cast("string"))
+    a = toxicity.score_documents(docs, labels).collect()
+    b = toxicity.score_documents(text_ids(docs), text_ids(labels)).collect()
+    assert len(b) == len(a) and sum(r["toxic"] for r in b) > 30
 
 
 def test_logistic_fit_parts_two_groups():
