@@ -1,4 +1,6 @@
 import html as entities
+import math
+import random
 import re
 
 import pytest
@@ -68,3 +70,64 @@ def test_tables(spark, sf_dir):
     for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
         body = re.sub("<[^>]*>", " ", re.search("<article>(.*?)</article>", r["html"], re.S)[1])
         assert html.main_text(r["html"]) == " ".join(entities.unescape(body).split())
+
+
+def test_articles_without_semantic_elements(spark, sf_dir):
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        plain = re.sub(r"<(/?)(article|main)\b", r"<\1div", r["html"])
+        assert html.main_text(plain) == html.main_text(r["html"])
+
+
+def _brute(page: str):
+    """Density, density sum and text of every element of a well-formed page, each from its own definition."""
+    from xml.etree import ElementTree
+
+    root = ElementTree.fromstring(page)
+    size = lambda s: len("".join((s or "").split(" ")))
+    chars = lambda el: size("".join(el.itertext()))
+    links = lambda el: chars(el) if el.tag == "a" else sum(links(c) for c in el)
+    tags = lambda el: sum(1 for _ in el.iter()) - 1
+    link_tags = lambda el: sum(1 for x in el.iter("a") if x is not el)
+    all_c, all_l = max(chars(root), 1), links(root)
+
+    def density(el):
+        c, lc, t, lt = chars(el), links(el), max(tags(el), 1), link_tags(el)
+        if not c:
+            return 0.0
+        base = math.log(lc * c / max(c - lc, 1) + all_l * c / all_c + math.e)
+        return c / t * math.log(c / max(lc, 1) * t / max(min(lt, t), 1) + 1e-9) / math.log(max(base, 1.3))
+
+    def blocks_below(el):
+        for child in el:
+            if child.tag in html.INLINE:
+                yield from blocks_below(child)
+            else:
+                yield child
+
+    return [(el.tag, density(el), sum(density(b) for b in blocks_below(el)) if el.tag not in html.INLINE else 0.0) for el in root.iter()]
+
+
+def test_densities_are_those_of_the_definition():
+    rng = random.Random(3)
+
+    def grown(depth):
+        tag = rng.choice(["div", "section", "div", "b", "p"]) if depth else "p"
+        inner = "".join(rng.choice([grown(depth - 1), "some words ", "<a>a link</a>", "<i>x</i>"]) for _ in range(rng.randint(0, 4))) if depth and tag not in ("p", "b") else "".join(rng.choice(["words of text ", "<a>link</a>", "<b>bold</b>"]) for _ in range(rng.randint(0, 5)))
+        return f"<{tag}>{inner}</{tag}>"
+
+    for _ in range(200):
+        text = f"<body>{''.join(grown(4) for _ in range(3))}</body>"
+        page = html._Page()
+        page.feed(text)
+        page.close()
+        dense, _, _ = html.densities(page)
+        sums = html.density_sums(page, dense, page.aside)
+        want = _brute(text)
+        assert page.tag[1:] == [t for t, _, _ in want]
+        assert dense[1:] == pytest.approx([d for _, d, _ in want])
+        assert [s if t not in html.INLINE else 0.0 for t, s in zip(page.tag[1:], sums[1:], strict=True)] == pytest.approx([s for _, _, s in want])
+
+
+def test_the_largest_sum_is_content_whole():
+    page = "<body><div><a href='/1'>one</a><a href='/2'>two</a></div><div><h1>T</h1><section><p>some words of text that go on and on.</p><p>x.</p></section><p>short.</p><section><p>more of it, as it is, and again more.</p></section><ul><li><a href='/3'>see also</a></li></ul></div></body>"
+    assert html.main_text(page) == "T some words of text that go on and on. x. short. more of it, as it is, and again more."
