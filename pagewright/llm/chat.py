@@ -6,22 +6,29 @@ whose mask marks the characters that carry loss.
 
 Turns are compared by counting, for each (pair, turn, role, text), how often it stands
 on either side: the prefix ends at the smallest turn where the counts differ. That is
-two aggregations with partial sums and one join, so no conversation is ever gathered
-into one row or task; the result stays one row a turn.
+two aggregations with partial sums and one join, so no conversation is gathered to be
+compared. ``assemble_pairs`` then joins the rendered turns to one row a pair; a conversation
+of more than ``segment`` turns goes on in further rows, so that no row or task has to hold
+a conversation of any length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Marks of the template around role and text.
 OPEN, BETWEEN, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 TRAINED_ROLE = "assistant"
+#: Turns of a conversation that one row holds.
+SEGMENT = 512
 
 
 def pair_sides(conversations: DataFrame) -> DataFrame:
-    """pair_id, chosen, turn, role, text: conversation 2k is chosen over 2k + 1 in pair k."""
+    """pair_id, chosen, turn, role, text: conversation 2k is chosen over 2k + 1 in pair k.
+
+    A null conv_id gives a null pair_id and a null ``chosen``.
+    """
     pair = F.floor(F.col("conv_id") / F.lit(2)).cast("long") if dict(conversations.dtypes)["conv_id"] not in ("int", "bigint") else F.shiftright(F.col("conv_id").cast("long"), 1)
     return conversations.select(pair.alias("pair_id"), (F.pmod(F.col("conv_id"), F.lit(2)) == 0).alias("chosen"), F.col("turn").cast("long").alias("turn"), "role", "text")
 
@@ -67,6 +74,36 @@ def format_preferences(sides: DataFrame, *, trained_role: str = TRAINED_ROLE, op
     )
 
 
+def assemble_pairs(rows: DataFrame, *, segment: int = SEGMENT) -> DataFrame:
+    """Paired completions from the rows of ``format_preferences``.
+
+    Returns pair_id, segment, prompt, chosen, rejected, chosen_loss, rejected_loss,
+    chosen_turns, rejected_turns. The rendered turns of a part follow each other in order of
+    turn, role, text (nulls first), a turn as often as it stands there. A mask lists the
+    ranges of a completion's characters that carry loss, as 'from-to' from 0, end excluded,
+    joined by commas; the rest, like the whole prompt, carries none. Segment 0 has the turns
+    below ``segment`` and those without number, segment 1 the next, and so on; a conversation's
+    text is that of its segments in order. A part without turns is empty, and so is its mask.
+    Equal conversations give a prompt and two empty completions, a conversation without
+    partner no prompt and one empty completion. Other columns are ignored.
+    """
+    n = F.floor(F.greatest(F.coalesce("turn", F.lit(0)), F.lit(0)) / F.lit(segment)).cast("int")
+    turns = rows.select("pair_id", n.alias("segment"), "part", "turn", "role", "rendered", "loss_from", "loss_to", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    order = ["turn", "role", "rendered", "copy"]
+    before = Window.partitionBy("pair_id", "segment", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = turns.repartition("pair_id", "segment").withColumn("at", F.coalesce(F.sum(F.char_length("rendered")).over(before), F.lit(0)))
+    mask = F.when(F.col("loss_to") > F.col("loss_from"), F.concat_ws("-", F.col("at") + F.col("loss_from"), F.col("at") + F.col("loss_to")))
+    listed = lambda part, what: F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("at", *order, what.alias("x"))))), lambda x: x["x"])
+    joined = lambda part: F.array_join(listed(part, F.col("rendered")), "")
+    masked = lambda part: F.array_join(listed(part, mask), ",")
+    number = lambda part: F.count_if(F.col("part") == part)
+    return placed.groupBy("pair_id", "segment").agg(
+        joined("prompt").alias("prompt"), joined("chosen").alias("chosen"), joined("rejected").alias("rejected"),
+        masked("chosen").alias("chosen_loss"), masked("rejected").alias("rejected_loss"),
+        number("chosen").alias("chosen_turns"), number("rejected").alias("rejected_turns"),
+    )
+
+
 SQL = """
 WITH sides AS (
   SELECT conv_id >> 1 AS pair_id, conv_id % 2 = 0 AS chosen, CAST(turn AS BIGINT) AS turn, role, text FROM conversations
@@ -79,9 +116,19 @@ WITH sides AS (
   SELECT c.*, 'prompt' AS part, n_chosen AS copies FROM counted c LEFT JOIN split ON pair_id = split_id WHERE first_apart IS NULL OR turn < first_apart
   UNION ALL SELECT c.*, 'chosen', n_chosen FROM counted c JOIN split ON pair_id = split_id WHERE turn >= first_apart AND n_chosen > 0
   UNION ALL SELECT c.*, 'rejected', n_rejected FROM counted c JOIN split ON pair_id = split_id WHERE turn >= first_apart AND n_rejected > 0
+), turns AS (
+  SELECT pair_id, CAST(turn // 512 AS INTEGER) AS segment, part, turn, role, copy, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered,
+    part <> 'prompt' AND role = 'assistant' AS trained, 13 + length(role) AS loss_from, 23 + length(role) + length(text) AS loss_to
+  FROM (SELECT *, unnest(range(copies)) AS copy FROM parts)
+), placed AS (
+  SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, segment, part ORDER BY turn, role, rendered, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM turns
 )
-SELECT pair_id, part, turn, role, copies, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered,
-  CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 13 + length(role) ELSE 0 END AS INTEGER) AS loss_from,
-  CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN 23 + length(role) + length(text) ELSE 0 END AS INTEGER) AS loss_to
-FROM parts
+SELECT pair_id, segment,
+  coalesce(string_agg(rendered, '' ORDER BY begins) FILTER (WHERE part = 'prompt'), '') AS prompt,
+  coalesce(string_agg(rendered, '' ORDER BY begins) FILTER (WHERE part = 'chosen'), '') AS chosen,
+  coalesce(string_agg(rendered, '' ORDER BY begins) FILTER (WHERE part = 'rejected'), '') AS rejected,
+  coalesce(string_agg(CAST(begins + loss_from AS BIGINT) || '-' || CAST(begins + loss_to AS BIGINT), ',' ORDER BY begins) FILTER (WHERE part = 'chosen' AND trained), '') AS chosen_loss,
+  coalesce(string_agg(CAST(begins + loss_from AS BIGINT) || '-' || CAST(begins + loss_to AS BIGINT), ',' ORDER BY begins) FILTER (WHERE part = 'rejected' AND trained), '') AS rejected_loss,
+  count(*) FILTER (WHERE part = 'chosen') AS chosen_turns, count(*) FILTER (WHERE part = 'rejected') AS rejected_turns
+FROM placed GROUP BY pair_id, segment
 """

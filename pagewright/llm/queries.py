@@ -19,7 +19,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_preferences(chat.pair_sides(_table(spark, sf_dir, "conversations")))
+    return chat.assemble_pairs(chat.format_preferences(chat.pair_sides(_table(spark, sf_dir, "conversations"))))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

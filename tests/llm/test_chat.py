@@ -51,7 +51,7 @@ def test_long_texts_and_plan(spark):
 
 
 def test_no_python_in_the_plan(spark, sf_dir):
-    df = chat.format_preferences(chat.pair_sides(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    df = chat.assemble_pairs(chat.format_preferences(chat.pair_sides(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan
 
@@ -59,6 +59,42 @@ def test_no_python_in_the_plan(spark, sf_dir):
 def test_sql(spark, sf_dir):
     c = duckdb.connect()
     c.execute(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
-    df = chat.format_preferences(chat.pair_sides(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    df = chat.assemble_pairs(chat.format_preferences(chat.pair_sides(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
     want = c.execute(f"select {', '.join(df.columns)} from ({chat.SQL})").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
+def assembled(spark, rows, **options):
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
+    return sorted(chat.assemble_pairs(chat.format_preferences(df), **options).collect(), key=str)
+
+
+def test_completions_are_paired_and_masked(spark):
+    turns = [(0, "system", "be kind"), (1, "user", "hi")]
+    rows = [(7, side, *t) for t in turns for side in (True, False)]
+    rows += [(7, True, 2, "assistant", "hello"), (7, False, 2, "assistant", "go away"), (7, False, 3, "user", "why"), (7, False, 4, "assistant", "so")]
+    (r,) = assembled(spark, rows)
+    assert r["prompt"] == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user\nhi<|im_end|>\n"
+    for side, want in (("chosen", ["hello<|im_end|>"]), ("rejected", ["go away<|im_end|>", "so<|im_end|>"])):
+        assert [r[side][int(a) : int(b)] for a, b in (x.split("-") for x in r[side + "_loss"].split(","))] == want
+    assert (r["chosen_turns"], r["rejected_turns"], r["segment"]) == (1, 3, 0)
+
+
+def test_equal_lonely_repeated_and_null_turns_assembled(spark):
+    (r,) = assembled(spark, [(1, True, 0, "user", "a"), (1, False, 0, "user", "a")])
+    assert r["prompt"] and r["chosen"] == r["rejected"] == r["chosen_loss"] == r["rejected_loss"] == ""
+    (r,) = assembled(spark, [(2, False, 0, "assistant", "a")])
+    assert r["prompt"] == r["chosen"] == "" and r["rejected"]
+    (r,) = assembled(spark, [(3, True, 1, "assistant", "b")] * 2 + [(3, True, None, "user", None), (3, True, 1, "assistant", "a"), (3, True, 1, None, "z")])
+    one = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert r["chosen"] == one("user", "") + one("", "z") + one("assistant", "a") + 2 * one("assistant", "b")
+    assert [r["chosen"][int(a) : int(b)] for a, b in (x.split("-") for x in r["chosen_loss"].split(","))] == ["a<|im_end|>", "b<|im_end|>", "b<|im_end|>"]
+    assert assembled(spark, []) == []
+
+
+def test_long_conversations_go_on_in_further_rows(spark):
+    rows = [(1, True, i, "assistant", f"t{i}") for i in range(25)] + [(1, False, 0, "user", "x")]
+    out = assembled(spark, rows, segment=10)
+    assert [(r["segment"], r["chosen_turns"], r["rejected_turns"]) for r in sorted(out, key=lambda r: r["segment"])] == [(0, 10, 1), (1, 10, 0), (2, 5, 0)]
+    whole = "".join(r["chosen"] for r in sorted(out, key=lambda r: r["segment"]))
+    assert whole == "".join(f"<|im_start|>assistant\nt{i}<|im_end|>\n" for i in range(25))
