@@ -8,8 +8,9 @@ features.
 
 A task writes shards under names of its own, and the rows of a task that failed or was
 repeated are never committed, so a lost executor leaves files that nothing refers to. A
-shard holds a content once; tasks don't know each other's contents, so a content may
-stand in several shards, under the same digest and with the same bytes.
+task stores a content once (of its last REMEMBERED); tasks don't know each other's, so all
+rows of a content are then pointed to one of its places, whichever task wrote it: in the
+whole store a digest has one address. Members that no row refers to stay in their shard.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from pagewright.session import new_path, write_table
 
@@ -124,7 +128,7 @@ def read_range(shard: str, offset: int, length: int) -> bytes:
 
 
 def pack_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, digest, shard, offset, length of every row; written, so that it is stable.
+    """doc_id, n_bytes, digest, shard, offset, length of every row; a digest has one place.
 
     Null text is empty and gets one unit of padding. Null ids and repeated rows have a row
     each; equal texts have equal digests and lengths. Other columns are not read.
@@ -152,17 +156,38 @@ def pack_media(docs: DataFrame) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     packed = docs.select("doc_id", "text").mapInPandas(pack, f"doc_id {kind}, n_bytes long, digest string, shard string, offset long, length long")
-    return write_table(packed, "media-rows")
+    rows = write_table(packed, "media-rows")  # written, so that no place changes when read again
+    places = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset")).alias("place"))
+    return rows.drop("shard", "offset").join(places, "digest").select("doc_id", "n_bytes", "digest", "place.shard", "place.offset", "length")
 
 
-def with_header(media: DataFrame) -> DataFrame:
-    """``media`` with width, height and sample_bits, from the first bytes of each member."""
+def _with(media: DataFrame, kind: StructType, of, *columns: str) -> DataFrame:
+    """``media`` with the fields that ``of`` gives for the values of ``columns``; columns of these names are replaced."""
+    arrow = to_arrow_type(kind)
+
+    @F.arrow_udf(kind)
+    def read(arrays: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for batch in arrays:
+            seen = OrderedDict()
+            for at in zip(*(a.to_pylist() for a in batch), strict=True):
+                if at not in seen:
+                    seen[at] = dict.fromkeys(kind.names) if None in at else dict(zip(kind.names, of(*at), strict=True))
+            yield pa.array([seen[at] for at in zip(*(a.to_pylist() for a in batch), strict=True)], arrow)
+
+    kept = [c for c in media.columns if c not in kind.names]
+    return media.select(*kept, read(*columns).alias("__read")).select(*kept, "__read.*")
+
 
-    @F.pandas_udf("width int, height int, sample_bits int")
-    def header(shard: pd.Series, offset: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([png_header(read_range(s, o, HEADER_BYTES)) for s, o in zip(shard, offset, strict=True)], columns=["width", "height", "sample_bits"])
+HEADER = StructType().add("width", "integer").add("height", "integer").add("sample_bits", "integer")
+
+
+def with_header(media: DataFrame) -> DataFrame:
+    """``media`` with width, height and sample_bits, from the first bytes of each member.
 
-    return media.withColumn("header", header("shard", "offset")).select(*media.columns, "header.*")
+    A null shard or offset gives nulls; columns of these names are replaced. A member that is
+    no PNG is an error.
+    """
+    return _with(media, HEADER, lambda shard, offset: png_header(read_range(shard, offset, HEADER_BYTES)), "shard", "offset")
 
 
 def features(payload: bytes) -> str:
@@ -173,22 +198,21 @@ def features(payload: bytes) -> str:
     return f"mean={mean:.6f};entropy={abs(-(share * np.log2(share)).sum()):.6f};levels={len(share)};mode={int(counts.argmax())}"
 
 
+FOUND = StructType().add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("feature", "string")
+
+
+def _found(shard: str, offset: int, length: int) -> tuple:
+    image = read_range(shard, offset, length)
+    payload = from_png(image)
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), features(payload)
+
+
 def with_features(media: DataFrame) -> DataFrame:
-    """``media`` with what the members' bytes give when read back."""
-    kind = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-
-    @F.pandas_udf(kind)
-    def read(shards: pd.Series, offsets: pd.Series, lengths: pd.Series) -> pd.DataFrame:
-        rows, seen = [], {}
-        for at in zip(shards, offsets, lengths, strict=True):
-            if at not in seen:
-                image = read_range(*at)
-                payload = from_png(image)
-                seen[at] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), features(payload))
-            rows.append(seen[at])
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in kind.split(", ")])
-
-    return media.withColumn("found", read("shard", "offset", "length")).select(*media.columns, "found.*")
+    """``media`` with what the members' bytes give when read back; a place is read once a batch.
+
+    A null shard, offset or length gives nulls; columns of these names are replaced.
+    """
+    return _with(media, FOUND, _found, "shard", "offset", "length")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
