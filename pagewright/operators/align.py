@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import spans as S
 from pagewright.functions import text as T
-from pagewright.functions.binding import let
 
 
 def passage_anchors(passages: DataFrame, *, kind: str = "abstract", id_col: str = "item_id", text_col: str = "text", compose: bool = True, numeric: bool = True) -> DataFrame:
@@ -16,43 +15,58 @@ def passage_anchors(passages: DataFrame, *, kind: str = "abstract", id_col: str
     return passages.select(id_col, target.alias("target")).withColumn("anchors", S.anchors(F.col("target"), kind))
 
 
-def shingles(c: Column, size: int) -> Column:
-    """Hashes of the runs of ``size`` words of a text with single spaces; shorter texts have one of all words."""
-    def of(words: Column) -> Column:
-        n = F.size(words)
-        runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.least(F.lit(size), n)), " ")))
-        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(runs))
+#: Units of a run by which passages and documents meet.
+RUN = 4
+#: A unit is a character of a script without spaces, or what stands between spaces and those.
+UNIT = r"[\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]|[^ \x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]+"
 
-    return let(F.filter(F.split(c, " "), lambda w: w != ""), of)
+
+def units(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(UNIT), F.lit(0))
+
+
+def runs(of: Column, size: Column) -> Column:
+    """Hashes of the different runs of ``size`` units; none where there are fewer."""
+    starts = F.when(F.size(of) >= size, F.sequence(F.lit(1), F.size(of) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(size, F.array_join(F.slice(of, i, size), " "))))
+
+
+def candidates(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, item_id): documents that have a passage's anchor at the edges of units, and some that have only its rarest run.
+
+    ``texts`` has doc_id and text, ``found`` item_id and anchors. An anchor is looked for by
+    one of its runs of RUN units, or all of its units where it has fewer: the run that stands
+    in the fewest documents, so a common beginning brings no pairs together. Documents make
+    runs of the lengths that anchors have, which a table of one row tells them.
+    """
+    each = found.select("item_id", F.posexplode("anchors").alias("nth", "a")).select("item_id", "nth", units(F.col("a.text")).alias("u")).where(F.size("u") > 0)
+    each = each.withColumn("size", F.least(F.lit(RUN), F.size("u")))
+    keys = each.select("item_id", "nth", F.explode(runs(F.col("u"), F.col("size"))).alias("run"))
+    sizes = each.agg(F.collect_set("size").alias("sizes"))  # one row, RUN values at most
+    made = texts.select("doc_id", units(F.col("text")).alias("u")).join(F.broadcast(sizes)).select("doc_id", F.explode(F.flatten(F.transform("sizes", lambda n: runs(F.col("u"), n)))).alias("run"))
+    hits = made.join(keys.select("run").distinct(), "run", "left_semi").repartition("run")
+    often = hits.groupBy("run").agg(F.count("*").alias("docs"))
+    rarest = keys.join(often, "run", "left").groupBy("item_id", "nth").agg(F.min_by("run", F.struct(F.coalesce("docs", F.lit(0)), "run")).alias("run"))
+    return hits.join(rarest, "run").select("doc_id", "item_id").distinct()
 
 
 def align(docs: DataFrame, passages: DataFrame, *, kind: str = "abstract", compose: bool = True, numeric: bool = True) -> DataFrame:
     """The best passage of every document that holds one: doc_id, item_id, matched, anchor_count, coverage, confidence.
 
-    A pair is looked at when the document has, at word edges, the first words of one of the
-    passage's anchors; that is an equi join on hashes of word runs, never documents times
-    passages. Then anchors are searched in order and the coverage decides. Equal ranks go to
-    the smaller item_id.
+    A pair is looked at when the document has one of the passage's anchors at the edges of
+    units (see ``candidates``): equi joins on hashes of runs, never documents times passages.
+    Then anchors are searched in order and the coverage decides. Equal ranks go to the smaller
+    item_id.
     """
     found = passage_anchors(passages, kind=kind, compose=compose, numeric=numeric).where(F.size("anchors") > 0)
-    words = F.transform("anchors", lambda a: F.size(F.split(a["text"], " ")))
-    size = found.agg(F.min(F.array_min(words))).first()[0]
-    size = max(1, min(4, size or 1))
-    heads = found.select("item_id", F.explode("anchors").alias("a")).select("item_id", first_words(F.col("a.text"), size).alias("head")).distinct()
     texts = docs.select("doc_id", T.normalize_front_matter(F.col("text"), compose, numeric).alias("text"))
-    pairs = texts.select("doc_id", F.explode(shingles(F.col("text"), size)).alias("head")).join(heads, "head").select("doc_id", "item_id").distinct()
-    looked = pairs.join(texts, "doc_id").join(found, "item_id")
+    looked = candidates(texts, found).join(texts, "doc_id").join(found, "item_id")
     match = S.match_anchors(F.col("text"), F.col("anchors"), F.char_length("target"), kind)
     matched = looked.select("doc_id", "item_id", match.alias("m")).where("m is not null").select("doc_id", "item_id", "m.*")
     best = Window.partitionBy("doc_id").orderBy(F.desc("coverage"), F.desc("matched"), "item_id")
     return matched.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "first_start", "last_end", "target_start", "target_end")
 
 
-def first_words(c: Column, size: int) -> Column:
-    """Hash of the first ``size`` words."""
-    return F.xxhash64(F.substring_index(c, " ", size))
-
-
 def unambiguous(targets: DataFrame, *, keys: list[str], identity: str, margin: float = 0.03) -> DataFrame:
     """T5: the best target of each group by coverage, anchors and lines; none where another one is as good.
 

@@ -527,20 +527,25 @@ def _status(c: Column) -> Column:
     return F.when(c == "purchase", "translated").when(c == "view", "cached").when(c == "error", "failed").otherwise("skipped")
 
 
+def _last_results(spark, sf_dir, older: bool) -> DataFrame:
+    """Each user's last result among the older or the newer half of all events (by number)."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", _status(F.col("event_type")).alias("status"))
+    half = e.agg(F.floor((F.min("event_id") + F.max("event_id")) / 2).alias("half"))  # one row
+    mine = e.join(F.broadcast(half)).where((F.col("event_id") <= F.col("half")) == F.lit(older))
+    return mine.groupBy("user_id").agg(F.max_by("status", "event_id").alias("status"), F.max("event_id").alias("event_id"))
+
+
 @query
 def result_merge_last_good(spark, sf_dir):
-    """Each user's result of buying over that of looking, good ones kept."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", _status(F.col("event_type")).alias("status"))
-    last = lambda rows: rows.groupBy("user_id").agg(F.max_by("status", "event_id").alias("status"), F.max("event_id").alias("event_id"))
-    return store.merge_last_good(last(e.where("value >= 150")), last(e.where("value < 1")), keys=["user_id"])
+    """Each user's last result of the newer half of the events over that of the older half, good ones kept."""
+    return store.merge_last_good(_last_results(spark, sf_dir, True), _last_results(spark, sf_dir, False), keys=["user_id"])
 
 
 @query
 def target_merge(spark, sf_dir):
-    """Each user's newer target over the older one."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    last = lambda rows: rows.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
-    return store.merge_targets(last(e.where("value >= 150")), last(e.where("value < 1")), keys=["user_id"])
+    """Each user's target of the newer half of the events over that of the older half."""
+    one = lambda older: _last_results(spark, sf_dir, older).select("user_id", "event_id")
+    return store.merge_targets(one(True), one(False), keys=["user_id"])
 
 
 @query
