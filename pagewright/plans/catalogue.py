@@ -173,8 +173,9 @@ def chunk_text_800(spark, sf_dir):
 
 @query
 def stable_hash(spark, sf_dir):
-    """two-lane and one-lane hashes of addresses and passages."""
-    texts = table(spark, sf_dir, "pages").select(F.lit("url").alias("kind"), F.col("page_id").alias("id"), F.col("url").alias("text")).union(table(spark, sf_dir, "benchmark").select(F.lit("passage"), "item_id", "text"))
+    """two-lane and one-lane hashes of whole documents, addresses and passages."""
+    one = lambda name, kind, key, text: table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(text).alias("text"))
+    texts = one("documents", "document", "doc_id", "text").union(one("pages", "url", "page_id", "url")).union(one("benchmark", "passage", "item_id", "text"))
     return texts.select("kind", "id", H.stable_hash(F.col("text")).alias("hash"), H.fingerprint(F.col("text")).alias("lane"))
 
 

@@ -5,6 +5,7 @@ import sys
 import duckdb
 import pytest
 
+import pagewright.plans.parts  # noqa: F401  (registers its queries and SQL)
 from pagewright.plans.catalogue import QUERIES
 from pagewright.plans.oracles import SQL
 
