@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.session import write_table
+from pagewright.session import drop_table, write_table
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 17
 WORD = r"[^\x20\x09-\x0D]+"
@@ -115,6 +115,7 @@ def mix(docs: DataFrame, carry: list[str], *, weights: tuple[int, ...] = WEIGHTS
 
     kind = "source string, size long, n long, source_size long, target double, whole long, extra long"
     quotas = write_table(hist.groupBy("source").applyInPandas(plan, kind).withColumn("buckets", F.ceil(F.col("n") / bucket_rows).cast("long")), "mix-quotas")
+    drop_table(hist)
     q = quotas.select(F.coalesce("source", F.lit("")).alias("q_source"), F.col("source").isNull().alias("q_null"), F.col("size").alias("q_size"), "n", "source_size", "target", "whole", "extra", "buckets")
     keyed = rows.withColumn("q_source", F.coalesce("source", F.lit(""))).withColumn("q_null", F.col("source").isNull()).withColumn("q_size", F.col("size")).drop("source")
     joined = keyed.join(q, ["q_source", "q_null", "q_size"]).withColumn("bucket", F.pmod("h", "buckets"))

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.session import write_table
+from pagewright.session import drop_table, write_table
 
 SHARDS = 24
 OVERHEAD = 8
@@ -138,6 +138,7 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, overhead: int = OV
         own.append(g["key"])
         left, total = left - 1, total - g["bytes"]
     _, keys = plan_cuts(groups.where(~F.col("key").isin(own)) if own else groups, left, first_bits, node_bits)
+    drop_table(groups)
     shard: Column = F.lit(len(own))
     for k in keys:
         shard = shard + (F.col("key") >= k).cast("int")

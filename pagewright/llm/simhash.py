@@ -154,7 +154,9 @@ def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+    out = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+    out._pagewright_path = now._pagewright_path  # dropping the result drops the links it reads
+    return out
 
 
 def fingerprints(docs: DataFrame, *columns: Column, size: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -167,7 +169,9 @@ def rooted(found: DataFrame, *, radius: int = RADIUS, bucket_rows: int = BUCKET_
     """fp, root (the least fp of its component) and least (its least doc_id) of each fingerprint of ``found`` (doc_id, fp)."""
     nodes = write_table(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(near_links(nodes.select("fp"), radius=radius, bucket_rows=bucket_rows))
-    return write_table(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
+    out = write_table(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
+    drop_table(nodes, roots)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, size: int = SHINGLE, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -177,10 +181,11 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, size: int = SHINGL
     differing bits reach, the document itself included. Null and blank texts have
     fingerprint zero and link like any other; a null doc_id has a row, but is never a
     component's id unless it has no other. Repeated rows give a row each. Only doc_id and
-    text are read.
+    text are read. The result reads two written tables, fingerprints and named.
     """
     found = write_table(fingerprints(docs, size=size, seed=seed), "fingerprints")
     nodes = rooted(found, radius=radius, bucket_rows=bucket_rows)
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = write_table(nodes.join(least, "root").select("fp", "component_id"), "named")
+    drop_table(nodes)
     return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
