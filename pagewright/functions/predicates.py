@@ -173,6 +173,16 @@ def publisher_metadata(c: Column, *, font_height: Column, body_height: Column, t
     return _i(text, PUBLISHER) & ((font_height <= body_height * 0.98) | (top_ratio < 0.16) | (bottom_ratio > 0.82) | (F.char_length(text) <= 180))
 
 
+#: Marks of a publisher's tail.
+TAIL = r"(?:©|copyright|all +rights +reserved" + END + ")"
+
+
+def before_publisher_tail(c: Column) -> Column:
+    """F32: what stands before the first mark of a publisher's tail; null where there is none or nothing before it."""
+    head = F.trim(F.regexp_extract(c, f"(?is)^(.*?){TAIL}", 1))
+    return F.when(head != "", head)
+
+
 def footnote(c: Column, *, font_height: Column, body_height: Column, bottom_ratio: Column, width_ratio: Column, compose: bool = True) -> Column:
     """P20."""
     text = T.normalize(c, compose)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,26 +18,42 @@ from pagewright.functions.binding import let
 CUT_AFTER = ("。", "！", "？", "；", ". ", "! ", "? ", "; ", "\n")
 
 
+#: Places after which a text may be cut, and spaces, the second choice.
+SENTENCE_END, SPACE_AFTER = re.compile("|".join(re.escape(m) for m in CUT_AFTER)), re.compile(" ")
+
+
 def cut_text(text: str, limit: int) -> list[str]:
-    """Parts of at most ``limit`` UTF-16 units whose concatenation is the text, cut at sentence ends."""
-    wide = not text.isascii() and any(ord(c) > 0xFFFF for c in text)
-    units = text.encode("utf-16-le") if wide else None
-    size, take = (len(units) // 2, lambda a, b: units[2 * a : 2 * b].decode("utf-16-le", "surrogatepass")) if wide else (len(text), lambda a, b: text[a:b])
-    if limit < 1 or size <= limit:
+    """parts of at most ``limit`` UTF-16 units whose concatenation is the text, cut at sentence ends.
+
+    All places are found once; a part then ends at its last sentence end, or, where that lies in
+    its first half, at its last space in the second half, or else at that sentence end or full.
+    A character of two units is never split, so it may be longer than a limit of one.
+    """
+    if limit < 1 or len(text) <= limit and (text.isascii() or len(text.encode("utf-16-le")) <= 2 * limit):
         return [text]
+    astral = [i for i, c in enumerate(text) if c > "\uffff"] if not text.isascii() else []
+    units = lambda i: i + bisect_left(astral, i)  # noqa: E731  UTF-16 units before a character
+
+    ends, spaces = ([m.span()[::-1] for m in pattern.finditer(text)] for pattern in (SENTENCE_END, SPACE_AFTER))
     parts, start = [], 0
-    while start < size:
-        end = min(start + limit, size)
-        if end < size:
-            window = take(start, end)
-            units_before = (lambda k, w=window: len(w[:k].encode("utf-16-le", "surrogatepass")) // 2) if wide else (lambda k: k)
-            cut = max((units_before(i) + len(m) if (i := window.rfind(m)) >= 0 else -1) for m in CUT_AFTER)
-            if cut < limit // 2 and (i := window.rfind(" ")) >= 0 and units_before(i) >= limit // 2:
-                cut = units_before(i) + 1
-            end = start + cut if cut > 0 else end
-        parts.append(take(start, end))
-        start = end
-    return parts
+    while units(len(text)) - units(start) > limit:
+        full = bisect_right(range(len(text) + 1), units(start) + limit, key=units) - 1
+        if full == start:  # one character alone is longer
+            full += 1
+
+        def last(places: list[tuple[int, int]], start=start, full=full) -> int:
+            """The last mark that lies in the part as a whole."""
+            end, begin = places[i - 1] if (i := bisect_left(places, (full + 1, 0))) else (0, -1)
+            return end if begin >= start else 0
+
+        sentence, space, half = last(ends), last(spaces), units(start) + limit // 2
+        if units(sentence) < half and space and units(space) > half:
+            cut = space
+        else:
+            cut = sentence or full
+        parts.append(text[start:cut])
+        start = cut
+    return [*parts, text[start:]] if start < len(text) else parts
 
 
 def chunks(c: Column, limit: int) -> Column:
@@ -194,27 +212,32 @@ def break_priority(left: str, right: str, blank: bool) -> int:
     return 4 if left.isspace() or right.isspace() else 5
 
 
-def allocate(chars: list[str], weights: list[float]) -> list[str]:
-    """Y2: characters dealt to parts by weight, cuts moved to the best place near; one each while they last."""
-    if not weights:
-        return []
-    out, at, run, total = [], 0, 0.0, max(1.0, sum(weights))
+def break_index(chars: list[str], goal: int, low: int, high: int) -> int:
+    """The best place for a cut near ``goal``, between ``low`` and ``high``; ``goal`` where none is near.
+
+    Places up to 8 % of the text away count, 6 at least; better ones by ``break_priority``, then
+    nearer ones, then earlier ones.
+    """
     reach = max(6, int(len(chars) * 0.08 + 0.5))
-    for i in range(len(weights) - 1):
-        run += weights[i]
-        low, high = at + 1, len(chars) - (len(weights) - i - 1)
-        if high < low:
-            out.append(chars[at] if at < len(chars) else "")
-            at = min(at + 1, len(chars))
-            continue
-        goal = max(low, min(high, int(len(chars) * run / total + 0.5)))
-        top = min(len(chars) - 1, high)
-        places = range(max(low, goal - reach), min(top, goal + reach) + 1) if top >= low else ()
-        key = lambda k: (break_priority(chars[k - 1], chars[k], k > 1 and chars[k - 2] == "\n" == chars[k - 1]), abs(k - goal), k)  # noqa: E731, B023
-        cut = min(places, key=key) if places else goal
-        out.append("".join(chars[at:cut]))
-        at = cut
-    return [*out, "".join(chars[at:])] if chars else [""] * len(weights)
+    places = range(max(low, goal - reach), min(len(chars) - 1, high, goal + reach) + 1)
+    blank = lambda k: k > 1 and chars[k - 2] == "\n" == chars[k - 1]
+    return min(places, key=lambda k: (break_priority(chars[k - 1], chars[k], blank(k)), abs(k - goal), k), default=goal)
+
+
+def allocate(chars: list[str], weights: list[float]) -> list[str]:
+    """Y2: characters dealt to parts by weight, cuts moved to the best place near; one each while they last.
+
+    The running sums of the weights are the goals of the cuts; every later part keeps one
+    character.
+    """
+    if not weights or not chars:
+        return [""] * len(weights)
+    total, cuts = max(1.0, sum(weights)), [0]
+    for left, share in zip(range(len(weights) - 1, 0, -1), accumulate(weights), strict=False):
+        low, high = cuts[-1] + 1, len(chars) - left
+        goal = max(low, min(high, int(len(chars) * share / total + 0.5)))
+        cuts.append(min(low, len(chars)) if high < low else break_index(chars, goal, low, high))
+    return ["".join(chars[a:b]) for a, b in pairwise([*cuts, len(chars)])]
 
 
 def allocated(characters: Column, weights: Column) -> Column:

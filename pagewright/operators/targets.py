@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions import predicates as P
 from pagewright.functions import spans as S
 from pagewright.operators import align
 from pagewright.session import write_table
@@ -50,9 +51,10 @@ def abstract_targets(found: dict[str, DataFrame], metadata: DataFrame) -> DataFr
     boundary; two regions as good as each other are refused. The lines between the first and last
     anchor are kept when the passage's tail is matched, else the region runs to its boundary.
     """
-    lines = found["lines"].where("reason is null")
+    tail = (F.col("reason") == "publisher-metadata") & F.col("kept_text").isNotNull()
+    lines = found["lines"].where(P.included(F.col("reason")) | tail).withColumn("text", F.when(tail, F.col("kept_text")).otherwise(F.col("text")))
     body = lines.join(found["abstract"].where("role = 'body'").select("doc_id", "k", "boundary"), ["doc_id", "k"]).withColumn("region", F.lit(0))
-    first = lines.where("page = 0 and not is_abstract").withColumn("boundary", F.lit(None).cast("string"))
+    first = lines.where(P.included(F.col("reason"))).where("page = 0 and not is_abstract").withColumn("boundary", F.lit(None).cast("string"))
     columns = first.withColumn("region", F.when(F.col("side") == -1, 1).when(F.col("side") == 0, 2).otherwise(3))
     ended = F.min(F.when(F.col("is_boundary") | (F.col("is_start") & F.col("is_likely")), F.struct("page", "y0"))).over(Window.partitionBy("doc_id", "region"))
     columns = columns.withColumn("ended", ended).where("ended is null or struct(page, y0) < ended").withColumn("boundary", F.when(F.col("ended").isNotNull(), "abstract-boundary")).drop("ended")

@@ -181,7 +181,7 @@ def stable_hash(spark, sf_dir):
 
 @query
 def key_identities(spark, sf_dir):
-    """Identities and encodings of every label's segment."""
+    """identities and encodings of every label's segment."""
     labels = table(spark, sf_dir, "labels")
     kind = F.when(F.col("toxic") == 1, "custom").otherwise("title")
     rid = H.record_id(F.col("quality").cast("long"), attachmentKey=F.col("doc_id").cast("string"), segmentKind=kind)
@@ -193,7 +193,7 @@ def key_identities(spark, sf_dir):
 
 @query
 def project_rects(spark, sf_dir):
-    """Line rectangles through four page rotations, with failures."""
+    """Line rectangles through four page rotations, with failures."""
     k = F.col("k")
     shift = F.when(k % 17 == 0, -700.0).otherwise(F.lit(0.0))
     lines = lines_of(spark, sf_dir).withColumn("pdf", G.rect(F.col("x0") + shift, 800.0 - F.col("y1"), F.when(k % 23 == 0, F.col("x0") + shift).otherwise(F.col("x1") + shift), 800.0 - F.col("y0")))
@@ -208,7 +208,7 @@ def project_rects(spark, sf_dir):
 
 @query
 def glyph_lines(spark, sf_dir):
-    """Word items grouped into lines."""
+    """Word items grouped into lines."""
     return layout.item_lines(layouts.line_items(lines_of(spark, sf_dir)))
 
 
@@ -389,7 +389,7 @@ def rect_line_match_greedy(spark, sf_dir):
 
 @query
 def selection_classify(spark, sf_dir):
-    """Layout class of selections of five lines."""
+    """Layout class of selections of five lines."""
     lines = lines_of(spark, sf_dir)
     known = lines.select("doc_id", "page", F.concat_ws(":", "page", "k").alias("line_id"), F.col("k").alias("order"), F.col("col").cast("string").alias("flow_id"), (F.col("k") % 97 == 0).alias("flow_conflict"))
     sel = F.floor(F.col("k") / 5).cast("long")
@@ -441,7 +441,7 @@ def projection_status(spark, sf_dir):
 
 @query
 def page_weights(spark, sf_dir):
-    """Bounding boxes and weights of pages."""
+    """Bounding boxes and weights of pages."""
     lines = lines_of(spark, sf_dir).select("doc_id", "page", G.rect("x0", "y0", "x1", "y1").alias("rect"))
     out = selection.page_weights(lines, selection=["doc_id"])
     return out.select("doc_id", "page", F.col("rect.x0").alias("x0"), F.col("rect.y0").alias("y0"), F.col("rect.x1").alias("x1"), F.col("rect.y1").alias("y1"), "weight")
@@ -449,7 +449,7 @@ def page_weights(spark, sf_dir):
 
 @query
 def split_replacement(spark, sf_dir):
-    """Documents dealt to three parts by weight."""
+    """Documents dealt to three parts by weight."""
     weights = F.array(F.lit(3.0), (F.col("doc_id") % 5).cast("double"), F.lit(2.5))
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(S.split_by_weight(F.col("text"), weights)).alias("part", "chunk")).select("doc_id", F.col("part").cast("long").alias("part"), F.char_length("chunk").cast("long").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
@@ -485,19 +485,19 @@ def change_log(spark, sf_dir) -> DataFrame:
 
 @query
 def store_upsert(spark, sf_dir):
-    """Records that the change log leaves."""
+    """Records that the change log leaves."""
     return store.fold_records(change_log(spark, sf_dir), key=["user_id"], record="record")
 
 
 @query
 def store_trash_purge(spark, sf_dir):
-    """Attachment states that the change log leaves."""
+    """Attachment states that the change log leaves."""
     return store.fold_log(change_log(spark, sf_dir), key=["user_id"])
 
 
 @query
 def store_invalidate(spark, sf_dir):
-    """Openings under another fingerprint than before, by attachment."""
+    """Openings under another fingerprint than before, by attachment."""
     opens = change_log(spark, sf_dir).where("change = 'open' and fingerprint is not null")
     before = F.lag("fingerprint").over(Window.partitionBy("user_id").orderBy("seq"))
     return opens.withColumn("before", before).groupBy("user_id").agg(F.count_if(F.col("before") != F.col("fingerprint")).alias("changes"), F.count("*").alias("opens"))
@@ -505,7 +505,7 @@ def store_invalidate(spark, sf_dir):
 
 @query
 def store_gc_orphans(spark, sf_dir):
-    """Records after states of missing items are swept."""
+    """Records after states of missing items are swept."""
     log = change_log(spark, sf_dir)
     states = store.fold_log(log, key=["user_id"]).select(F.lit(1).cast("long").alias("library_id"), F.col("user_id").cast("string").alias("attachment_key"), F.col("user_id").alias("attachment_item_id"))
     records = store.fold_records(log, key=["user_id"], record="record").select(F.lit(1).cast("long").alias("library_id"), F.col("user_id").cast("string").alias("attachment_key"), "record")
@@ -515,7 +515,7 @@ def store_gc_orphans(spark, sf_dir):
 
 @query
 def store_list(spark, sf_dir):
-    """Selection records of opened attachments with readable positions, in order of creation."""
+    """Selection records of opened attachments with readable positions, in order of creation."""
     e = table(spark, sf_dir, "events").where("event_type = 'purchase'")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("custom", "title", "unclassified", "abstract")]), (F.col("event_id") % 4 + 1).cast("int"))
     records = e.select(F.col("event_id").cast("string").alias("record_id"), F.lit(1).cast("long").alias("library_id"), F.col("user_id").cast("string").alias("attachment_key"), F.lit("f").alias("file_fingerprint"), kind.alias("segment_kind"), F.when(F.col("event_id") % 9 == 0, "{broken").otherwise(F.col("props")).alias("position_json"), F.when(F.col("event_id") % 3 == 0, "de").otherwise("zh-CN").alias("target_language"), F.lit("p").alias("prompt_version"), F.col("event_id").alias("created_at"))
@@ -581,7 +581,7 @@ def segments_of(spark, sf_dir) -> DataFrame:
 
 @query
 def eligibility_status(spark, sf_dir):
-    """Which segments may be sent, by kind and confidence."""
+    """Which segments may be sent, by kind and confidence."""
     s = segments_of(spark, sf_dir)
     ok = P.eligible(F.col("kind"), F.col("source_language"), F.lit("en"), F.col("confidence"))
     return s.groupBy("kind", "confidence").agg(F.count("*").alias("total"), F.count_if(ok).alias("eligible"), F.count_if(~ok).alias("skipped"))
@@ -607,7 +607,7 @@ def auth_circuit_breaker(spark, sf_dir):
 
 @query
 def retry_classify(spark, sf_dir):
-    """Answers that may be tried again."""
+    """Answers that may be tried again."""
     status = F.floor(F.col("value") * 4).cast("int")
     return table(spark, sf_dir, "events").groupBy(P.retryable(status).alias("retryable"), F.coalesce(P.error_code(status), F.lit("")).alias("error_code")).agg(F.count("*").alias("n"))
 
