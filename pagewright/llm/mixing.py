@@ -45,48 +45,69 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return out.tolist()
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
-    """How many documents of each length to take, so that their words come nearest to ``budget``."""
-    total = int((lengths * counts).sum())
-    if budget <= 0 or total == 0:
-        return np.zeros(len(lengths), np.int64)
-    if budget >= total:
-        return counts.astype(np.int64)
-    take = np.array([int(c) * budget // total for c in counts], np.int64)
+def _filled(lengths: np.ndarray, counts: np.ndarray, take: np.ndarray, budget: int) -> np.ndarray:
+    """``take`` and more documents, so that the words come nearest to ``budget``; the lesser sum of two as near.
+
+    A bounded knapsack: the numbers left of each length are 0/1 items by binary splitting, and
+    a bit set holds the sums that the items so far reach. A sum above the budget can only win
+    within twice what is left.
+    """
+    take = take.copy()
     rest = budget - int((lengths * take).sum())
-    for i in np.argsort(-lengths, kind="stable"):
-        if rest > window and lengths[i]:
-            more = min(int(counts[i] - take[i]), (rest - window) // int(lengths[i]))
-            take[i] += more
-            rest -= more * int(lengths[i])
-    # 0/1 items: binary splitting of what is left of each length
     items = []
     for i in np.argsort(-lengths, kind="stable"):
-        left, m = min(int(counts[i] - take[i]), rest // int(lengths[i])) if lengths[i] else 0, 1
+        left, m = min(int(counts[i] - take[i]), 2 * rest // int(lengths[i])) if lengths[i] else 0, 1
         while left > 0:
             m = min(m, left)
             items.append((int(lengths[i]) * m, int(i), m))
             left, m = left - m, m * 2
-    reach, full, by = 1, (1 << (rest + 1)) - 1, np.full(rest + 1, -1, np.int32)
+    reach, full, by = 1, (1 << (2 * rest + 1)) - 1, np.full(2 * rest + 1, -1, np.int32)
     for k, (w, _, _) in enumerate(items):
         new = (reach << w) & full & ~reach
         if new:
-            at = np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8), bitorder="little"))
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(2 * rest // 8 + 1, "little"), np.uint8), bitorder="little"))
             by[at] = k
             reach |= new
             if new >> rest & 1:
                 break
-    best = at = reach.bit_length() - 1
+    below = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    above = reach >> (rest + 1)
+    over = (above & -above).bit_length() if above else rest + 1
+    at = rest + over if over < rest - below else below
     while at:
         w, i, m = items[by[at]]
         take[i] += m
         at -= w
-    over = [(int(lengths[i]) - (rest - best), i) for i in range(len(lengths)) if counts[i] > take[i] and lengths[i] > rest - best]
-    if over and min(over)[0] < rest - best:
-        take[min(over)[1]] += 1
     return take
 
 
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = WINDOW) -> np.ndarray:
+    """How many documents of each length to take for ``budget`` words.
+
+    A share of each length is taken in proportion, long ones then fill up to ``window``, and the
+    knapsack fills the rest. A budget up to ``window`` that this does not meet is fitted again
+    without the share: the result is then the nearest sum that there is. For larger ones it is
+    the nearest to be had above the share, with a window of documents to choose from.
+    """
+    total = int((lengths * counts).sum())
+    if budget <= 0 or total == 0:
+        return np.zeros(len(lengths), np.int64)
+    if budget >= total:
+        return counts.astype(np.int64)
+    take = np.array([int(c) * budget // total for c in counts], np.int64)
+    rest = budget - int((lengths * take).sum())
+    for i in np.argsort(-lengths, kind="stable"):
+        if rest > window and lengths[i]:
+            more = min(int(counts[i] - take[i]), (rest - window) // int(lengths[i]))
+            take[i] += more
+            rest -= more * int(lengths[i])
+    missed = lambda x: abs(int((lengths * x).sum()) - budget)
+    found = _filled(lengths, counts, take, budget)
+    if missed(found) and budget <= window:
+        found = min(found, _filled(lengths, counts, np.zeros(len(lengths), np.int64), budget), key=missed)
+    return found
+
+
 def mix(docs: DataFrame, carry: list[str], *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, window: int = WINDOW, bucket_rows: int = BUCKET_ROWS, keep_rows: bool = True) -> DataFrame:
     """Struct ``row`` of the ``carry`` columns, size, source_size, target, copies of every row.
 
