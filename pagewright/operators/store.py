@@ -132,25 +132,55 @@ def change_kind(event: Column, kind: Column, deleted: Column) -> Column:
     )
 
 
-def fold_log(log: DataFrame, *, key: list[str]) -> DataFrame:
-    """The state of each attachment after its log, for those not deleted.
+def partial_states(log: DataFrame, *, key: list[str]) -> DataFrame:
+    """What a stretch of the log does to each attachment that it names, to be merged with what was before.
 
     ``log`` has the key, seq (total order), change ('open', 'put', 'trash', 'untrash',
-    'delete') and fingerprint (for 'open'; unknown ones change nothing). A delete clears all
-    before it. Returns key, fingerprint, is_trashed, first_seen, last_seen, opens.
+    'delete') and fingerprint (for 'open'; unknown ones change nothing). Returns key, cleared
+    (whether a delete stands in it) and, of the changes after the last delete: fingerprint,
+    opened, opens, flag, flag_seq, seen. Sums are made before rows move; the one join brings
+    back the deletes, which are few.
     """
-    gone = F.max(F.when(F.col("change") == "delete", F.col("seq"))).over(Window.partitionBy(*key))
-    live = log.where("change <> 'open' or fingerprint is not null").withColumn("gone", gone).where("gone is null or seq > gone")
-    opened = F.min(F.when(F.col("change") == "open", F.col("seq"))).over(Window.partitionBy(*key))
-    live = live.withColumn("opened", opened).where("opened is not null and seq >= opened")
-    flag = F.col("change").isin("trash", "untrash")
-    return live.groupBy(*key).agg(
-        F.max_by("fingerprint", F.when(F.col("change") == "open", F.col("seq"))).alias("fingerprint"),
-        F.coalesce((F.max_by("change", F.when(flag, F.col("seq"))) == "trash").cast("int"), F.lit(0)).alias("is_trashed"),
-        F.min("opened").alias("first_seen"), F.max(F.when(F.col("change") != "put", F.col("seq"))).alias("last_seen"), F.count_if(F.col("change") == "open").alias("opens"),
+    gone = log.where("change = 'delete'").groupBy(*key).agg(F.max("seq").alias("gone"))
+    marked = log.join(gone, key, "left")
+    live = (F.col("gone").isNull() | (F.col("seq") > F.col("gone"))) & ((F.col("change") != "open") | F.col("fingerprint").isNotNull())
+    of = lambda c: F.when(live & c, F.col("seq"))
+    is_open, is_flag = F.col("change") == "open", F.col("change").isin("trash", "untrash")
+    return marked.groupBy(*key).agg(
+        F.bool_or(F.col("gone").isNotNull()).alias("cleared"), F.max_by("fingerprint", of(is_open)).alias("fingerprint"), F.min(of(is_open)).alias("opened"), F.count(of(is_open)).alias("opens"),
+        F.max_by("change", of(is_flag)).alias("flag"), F.max(of(is_flag)).alias("flag_seq"), F.max(of(F.col("change") != "put")).alias("seen"),
     )
 
 
+STATE = ["fingerprint", "is_trashed", "first_seen", "last_seen", "opens"]
+
+
+def merged_states(states: DataFrame, partial: DataFrame, *, key: list[str]) -> DataFrame:
+    """The states of the attachments in ``partial`` after it, null where there is none.
+
+    ``states`` are those before; the changes in ``partial`` come after all that made them.
+    """
+    before = states.select(*key, F.struct(*STATE).alias("s"))
+    both = partial.join(before, key, "left").withColumn("s", F.when(~F.col("cleared"), F.col("s")))
+    had = F.col("s").isNotNull()
+    flagged = F.col("flag").isNotNull() & (had | (F.col("flag_seq") >= F.col("opened")))
+    now = F.struct(
+        F.coalesce("fingerprint", "s.fingerprint").alias("fingerprint"), F.when(flagged, (F.col("flag") == "trash").cast("int")).otherwise(F.coalesce("s.is_trashed", F.lit(0))).alias("is_trashed"),
+        F.coalesce("s.first_seen", "opened").alias("first_seen"), F.coalesce("seen", "s.last_seen").alias("last_seen"), (F.coalesce("s.opens", F.lit(0)) + F.col("opens")).alias("opens"),
+    )
+    return both.select(*key, F.when(had | F.col("opened").isNotNull(), now).alias("state"))
+
+
+def fold_log(log: DataFrame, *, key: list[str]) -> DataFrame:
+    """The state of each attachment after its whole log, for those not deleted.
+
+    A delete clears all before it. Returns key, fingerprint, is_trashed, first_seen,
+    last_seen, opens. See ``partial_states`` for the log.
+    """
+    none = log.where("false").select(*key, F.lit("").alias("fingerprint"), F.lit(0).alias("is_trashed"), F.col("seq").alias("first_seen"), F.col("seq").alias("last_seen"), F.lit(0).cast("long").alias("opens"))
+    return merged_states(none, partial_states(log, key=key), key=key).where("state is not null").select(*key, "state.*")
+
+
 def fold_records(log: DataFrame, *, key: list[str], record: str) -> DataFrame:
     """Records that a log leaves: put while open, not cleared by a later delete or change of fingerprint.
 

@@ -1,3 +1,6 @@
+import random
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,12 +150,22 @@ def test_envelopes(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(3)
+    kinds = ["open", "open", "open", "trash", "untrash", "put", "delete"]
     events = [("1", 0, "open", "f1"), ("2", 1, "open", "g1"), ("1", 2, "trash", None), ("2", 3, "delete", None), ("3", 4, "open", None), ("1", 5, "open", "f2")]
-    src, paths = str(tmp_path / "in"), [str(tmp_path / n) for n in ("log", "state", "check")]
-    for i, e in enumerate(events):
-        spark.createDataFrame([(1, *e)], changes.LOG).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(changes.LOG).option("maxFilesPerTrigger", 2).parquet(src)
-    changes.start(stream, *paths).awaitTermination()
-    batch = store.fold_log(spark.read.schema(changes.LOG).parquet(src), key=store.KEY)
+    events += [(str(rng.randint(1, 6)), n, kind := rng.choice(kinds), rng.choice(["f1", "f2", None]) if kind == "open" else None) for n in range(6, 60)]
+    src, state, check = (str(tmp_path / n) for n in ("in", "state", "check"))
+    for at in range(0, len(events), 10):
+        shutil.rmtree(src, ignore_errors=True)  # what was read is never needed again
+        spark.createDataFrame([(1, *e) for e in events[at : at + 10]], changes.LOG).coalesce(1).write.parquet(src)
+        stream = spark.readStream.schema(changes.LOG).parquet(src)
+        changes.start(stream, state, check, full_every=3).awaitTermination()
+    batch = store.fold_log(spark.createDataFrame([(1, *e) for e in events], changes.LOG), key=store.KEY)
     names = batch.columns
-    assert sorted(map(tuple, changes.current(spark, paths[1]).select(names).collect())) == sorted(map(tuple, batch.collect()))
+    want = sorted(map(tuple, batch.collect()))
+    assert want and sorted(map(tuple, changes.current(spark, state).select(names).collect())) == want
+    full = [e for e, kind in changes._epochs(spark, state) if kind == "full"]
+    assert full == [2, 5]
+    for e in range(2):  # a full version replaces those before it
+        shutil.rmtree(f"{state}/epoch={e}")
+    assert sorted(map(tuple, changes.current(spark, state).select(names).collect())) == want
