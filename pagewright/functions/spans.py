@@ -27,7 +27,7 @@ def cut_text(text: str, limit: int) -> list[str]:
 
     All places are found once; a part then ends at its last sentence end, or, where that lies in
     its first half, at its last space in the second half, or else at that sentence end or full.
-    A character of two units is never split, so it may be longer than a limit of one.
+    A character of two units is split only under a limit of one.
     """
     if limit < 1 or len(text) <= limit and (text.isascii() or len(text.encode("utf-16-le")) <= 2 * limit):
         return [text]
@@ -38,8 +38,11 @@ def cut_text(text: str, limit: int) -> list[str]:
     parts, start = [], 0
     while units(len(text)) - units(start) > limit:
         full = bisect_right(range(len(text) + 1), units(start) + limit, key=units) - 1
-        if full == start:  # one character alone is longer
-            full += 1
+        if full == start:  # a character of two units under a limit of one goes by halves
+            pair = text[start].encode("utf-16-le")
+            parts += [half.decode("utf-16-le", "surrogatepass") for half in (pair[:2], pair[2:])]
+            start += 1
+            continue
 
         def last(places: list[tuple[int, int]], start=start, full=full) -> int:
             """The last mark that lies in the part as a whole."""
