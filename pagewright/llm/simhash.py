@@ -115,18 +115,28 @@ def _then_end(batches):
 
 
 def near_links(nodes: DataFrame, *, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Links (a, b), b < a, that span the graph of distinct ``nodes`` (fp) within the radius."""
+    """Links (a, b), b < a, that span the graph of distinct ``nodes`` (fp) within the radius.
+
+    The keys of hot buckets, 15 / ``bucket_rows`` of the nodes at most, are written first and
+    broadcast where there are any. Nothing else is left to Spark's estimate: it takes the nodes
+    under all masks for as small as the nodes, and would gather them on the driver. The result
+    reads that table.
+    """
     tables = masks(radius)
     keyed = nodes.select(F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(tables)])).alias("x"), "fp").select("x.t", "x.key", "fp")
-    hot = keyed.groupBy("t", "key").count().where(F.col("count") > bucket_rows).select("t", "key")
-    usual = keyed.join(hot, ["t", "key"], "left_anti").repartition("t", "key").sortWithinPartitions("t", "key")
-    links = usual.select("t", "key", "fp").mapInPandas(_bucket_links(radius), "a long, b long")
+    hot = write_table(keyed.groupBy("t", "key").count().where(F.col("count") > bucket_rows).select("t", "key"), "hot", 1)
+    linked = lambda usual: usual.repartition("t", "key").sortWithinPartitions("t", "key").select("t", "key", "fp").mapInPandas(_bucket_links(radius), "a long, b long")
+    if hot.isEmpty():
+        drop_table(hot)
+        return linked(keyed).distinct()
     spark, half = nodes.sparkSession, radius // 2
     flips = spark.createDataFrame([(t, x, k < sum(1 for y in _flips(~m & (2**64 - 1), half))) for t, m in enumerate(tables) for k, x in enumerate(_flips(~m & (2**64 - 1), radius - half))], "t int, flip long, few boolean")
-    words = keyed.join(hot, ["t", "key"]).join(F.broadcast(flips), "t").select("t", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"), "fp", "few")
+    words = keyed.join(F.broadcast(hot), ["t", "key"]).join(F.broadcast(flips), "t").select("t", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"), "fp", "few")
     roots = words.where("few").groupBy("t", "word").agg(F.min("fp").alias("root"))
-    hot_links = words.join(roots, ["t", "word"]).where("fp <> root").select(F.greatest("fp", "root").alias("a"), F.least("fp", "root").alias("b"))
-    return links.union(hot_links).distinct()
+    hot_links = words.join(roots.hint("merge"), ["t", "word"]).where("fp <> root").select(F.greatest("fp", "root").alias("a"), F.least("fp", "root").alias("b"))
+    out = linked(keyed.join(F.broadcast(hot), ["t", "key"], "left_anti")).union(hot_links).distinct()
+    out._pagewright_path = hot._pagewright_path
+    return out
 
 
 def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
@@ -168,9 +178,10 @@ def fingerprints(docs: DataFrame, *columns: Column, size: int = SHINGLE, seed: i
 def rooted(found: DataFrame, *, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """fp, root (the least fp of its component) and least (its least doc_id) of each fingerprint of ``found`` (doc_id, fp)."""
     nodes = write_table(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(near_links(nodes.select("fp"), radius=radius, bucket_rows=bucket_rows))
+    links = near_links(nodes.select("fp"), radius=radius, bucket_rows=bucket_rows)
+    roots = components(links)
     out = write_table(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
-    drop_table(nodes, roots)
+    drop_table(nodes, links, roots)
     return out
 
 
