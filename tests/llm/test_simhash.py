@@ -73,6 +73,17 @@ def test_links_and_components_are_exact_with_and_without_hot_buckets(spark):
         assert [found.get(x, x) for x in signed] == want.tolist(), rows
 
 
+def test_nodes_under_all_masks_are_never_broadcast(spark, tmp_path):
+    spark.range(1000).selectExpr("xxhash64(id) as fp").write.parquet(str(tmp_path / "nodes"))
+    nodes = spark.read.parquet(str(tmp_path / "nodes"))  # small enough on disk to be broadcast
+    for rows in (32_768, 0):
+        plan = str(simhash.near_links(nodes, bucket_rows=rows)._jdf.queryExecution().executedPlan()).split("\n")
+        depth = [len(re.match(r"[\s:+-]*", x)[0]) for x in plan]
+        for i, line in enumerate(plan):
+            below = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+            assert "BroadcastExchange" not in line or not any("Generate" in x for x in plan[i:below]), rows
+
+
 def test_a_long_chain_is_one_component(spark):
     chain = [(i + 1, i) for i in range(200)]
     out = simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()
