@@ -11,7 +11,9 @@ than ``bucket_rows`` nodes is linked exactly another way: two fingerprints withi
 become equal when one has at most ceil(r/2) and the other at most floor(r/2) bits
 flipped, so flipped words are grouped and each node linked to the least node of its word,
 a number of rows in proportion to the nodes. Links become components by alternating
-star contractions on written tables; nothing is gathered on the driver.
+star contractions on written tables. Nodes, links and rows are never broadcast but from
+tables of ``BROADCAST_BYTES`` at most, whatever Spark takes for small enough: nothing that
+grows is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from pagewright.llm.batches import udf_of_lists
-from pagewright.session import drop_table, write_table
+from pagewright.session import drop_table, input_bytes, write_table
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 BUCKET_ROWS = 32_768
+#: Tables up to this size in files, some 30,000 fingerprints, may be broadcast.
+BROADCAST_BYTES = 1 << 18
 #: Shingles that are hashed and counted at once.
 BLOCK = 16_384
 
@@ -114,6 +118,11 @@ def _then_end(batches):
     yield None
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that must be a merge join unless what ``df`` reads is small."""
+    return df if input_bytes(df) <= BROADCAST_BYTES else df.hint("merge")
+
+
 def near_links(nodes: DataFrame, *, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links (a, b), b < a, that span the graph of distinct ``nodes`` (fp) within the radius.
 
@@ -152,10 +161,10 @@ def components(links: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
+        large = written(both.join(_merged(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lower = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(lower, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b"))
+        small = down.join(_merged(lower), "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x")).select(F.col("x.b").alias("a"), F.col("x.m").alias("b"))
         after = written(small.where("a <> b").distinct(), "links")
         for old in (now, least, large):
             drop_table(old)
@@ -180,7 +189,7 @@ def rooted(found: DataFrame, *, radius: int = RADIUS, bucket_rows: int = BUCKET_
     nodes = write_table(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     links = near_links(nodes.select("fp"), radius=radius, bucket_rows=bucket_rows)
     roots = components(links)
-    out = write_table(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
+    out = write_table(nodes.join(_merged(roots), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"), "rooted")
     drop_table(nodes, links, roots)
     return out
 
@@ -196,7 +205,7 @@ def near_duplicates(docs: DataFrame, *, radius: int = RADIUS, size: int = SHINGL
     """
     found = write_table(fingerprints(docs, size=size, seed=seed), "fingerprints")
     nodes = rooted(found, radius=radius, bucket_rows=bucket_rows)
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = write_table(nodes.join(least, "root").select("fp", "component_id"), "named")
-    drop_table(nodes)
-    return found.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = write_table(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "leasts")  # read back, so that a large component's rows can be split
+    named = write_table(nodes.join(_merged(least), "root").select("fp", "component_id"), "named")
+    drop_table(nodes, least)
+    return found.join(_merged(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -84,6 +84,20 @@ def test_nodes_under_all_masks_are_never_broadcast(spark, tmp_path):
             assert "BroadcastExchange" not in line or not any("Generate" in x for x in plan[i:below]), rows
 
 
+def test_no_join_of_what_grows_is_a_broadcast(spark, sf_dir, monkeypatch):
+    plans, write = [], simhash.write_table
+
+    def spied(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *more)
+
+    monkeypatch.setattr(simhash, "write_table", spied)
+    monkeypatch.setattr(simhash, "BROADCAST_BYTES", 0, raising=False)
+    out = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))  # far below Spark's own limit
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_a_long_chain_is_one_component(spark):
     chain = [(i + 1, i) for i in range(200)]
     out = simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()
