@@ -37,6 +37,7 @@ def title_targets(found: dict[str, DataFrame], metadata: DataFrame) -> DataFrame
     anchored = align.passage_anchors(metadata.where("title <> ''"), kind="title", id_col="doc_id", text_col="title")
     hits = align.locate_in_region(index, anchored, on=["doc_id"], kind="title")
     best = hits.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("region"))).where("nth = 1").drop("nth")
+    best = write_table(best, "title-hits")
     located = _text_of(lines, best).withColumns({"text": F.col("region_text"), "method": F.lit("metadata-segmented")})
     located = _shaped(located, "title")
     spare = found["titles"].where("rank = 1 and score >= 6").join(located.select("doc_id"), "doc_id", "left_anti")
@@ -60,8 +61,10 @@ def abstract_targets(found: dict[str, DataFrame], metadata: DataFrame) -> DataFr
     columns = columns.withColumn("ended", ended).where("ended is null or struct(page, y0) < ended").withColumn("boundary", F.when(F.col("ended").isNotNull(), "abstract-boundary")).drop("ended")
     regions = body.unionByName(columns)
     regions = write_table(regions.select("doc_id", "region", "page", "k", "x0", "y0", "text", "boundary"), "regions")
-    index = align.region_index(regions, keys=["doc_id", "region"]).join(regions.groupBy("doc_id", "region").agg(F.max("boundary").alias("boundary")), ["doc_id", "region"])
-    anchored = align.passage_anchors(metadata.where("abstract <> ''"), kind="abstract", id_col="doc_id", text_col="abstract").join(metadata.select("doc_id", F.col("abstract").alias("expected")), "doc_id")
+    index = align.region_index(regions, keys=["doc_id", "region"])
+    index = write_table(index.join(regions.groupBy("doc_id", "region").agg(F.max("boundary").alias("boundary")), ["doc_id", "region"]), "region-index")
+    anchored = align.passage_anchors(metadata.where("abstract <> ''"), kind="abstract", id_col="doc_id", text_col="abstract")
+    anchored = write_table(anchored.join(metadata.select("doc_id", F.col("abstract").alias("expected")), "doc_id"), "anchored")
     hits = align.locate_in_region(index, anchored, on=["doc_id"], kind="abstract").join(anchored.select("doc_id", "expected"), "doc_id").join(index.select("doc_id", "region", F.transform("places", lambda p: p["k"]).alias("all_ks")), ["doc_id", "region"])
     n = F.char_length("target")
     tail, prefix = F.col("target_end") >= n * 0.82, F.col("target_start") <= n * 0.18

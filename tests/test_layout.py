@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from pagewright.operators import apportion, front_matter, layout, targets
+from pagewright.plans import catalogue
 
 GLYPHS = "doc_id long, page long, offset long, c string, x0 double, y0 double, x1 double, y1 double, font string, break_after boolean, space_after boolean, ignorable boolean, rotation double"
 
@@ -136,3 +137,8 @@ def test_titles_take_texts_and_flags_as_they_were_judged(spark):
     plan = found["titles"]._jdf.queryExecution().optimizedPlan().toString()
     assert found["titles"].where("rank = 1").first()["text"] == "Synthetic Article Title"
     assert plan.count("nfkc(") == 1 and "judged" not in str(found["titles"].inputFiles())  # only the blocks' texts are made normal
+
+
+def test_targets_read_written_lines_only(spark, sf_dir):
+    read = catalogue.QUERIES["metadata_targets"](spark, sf_dir).inputFiles()
+    assert read and not any("documents" in f for f in read)
